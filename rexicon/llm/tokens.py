@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, save
+from .common import save
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -128,33 +128,57 @@ class Reader:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def splitter(path: str, most: int = 400_000):
-    """text -> ids of the tokenizer file at ``path``.
+#: What a Python worker keeps between its tasks, per tokenizer file: the model, ids by piece, ids by stem.
+_KNOWN: dict[str, tuple] = {}
 
-    White space always ends a token of this kind of tokenizer, so the library
-    encodes each distinct blank-free piece once and the pieces' ids are joined.
-    ``most``: pieces remembered before the memory starts anew.
+
+def splitter(path: str, pieces_kept: int = 300_000, stems_kept: int = 700_000):
+    """UTF-8 text -> ids, as little-endian u32 bytes, of the tokenizer file at ``path``.
+
+    The file's rules lower-case, drop white space and never let a token span white
+    space, or letters and signs.  So the library encodes each distinct stem once (a
+    blank-free piece, or its letters in lower case if signs other than the apostrophe
+    end it) and the ids are joined.  ``pieces_kept, stems_kept``: entries remembered
+    before that memory starts anew.
     """
+    import os
     import re
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    model, known, find = Tokenizer.from_file(path), {}, re.compile(WORD).findall
-
-    def ids(text: str) -> list[int]:
-        nonlocal known
-        pieces = find(text)
-        fresh = [p for p in set(pieces) if p not in known]
-        if fresh:
-            if len(known) + len(fresh) > most:
-                known = {}
-                fresh = list(set(pieces))
-            for p, e in zip(fresh, model.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[p] = e.ids
-        out: list[int] = []
+    if path not in _KNOWN:
+        _KNOWN[path] = (Tokenizer.from_file(path), {}, {})
+    model, known, stems = _KNOWN[path]
+    cut = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+    def stem(piece: str) -> bytes:
+        found = stems.get(piece)
+        if found is None:
+            if len(stems) >= stems_kept:
+                stems.clear()
+            found = stems[piece] = np.array(model.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        return found
+
+    def piece_ids(piece: bytes) -> bytes:
+        text = piece.decode()
+        m = cut(text)
+        if m:
+            return stem(m[1].lower()) + (stem(m[2]) if m[2] else b"")
+        return stem(text)
+
+    def ids(text: bytes) -> bytes:
+        pieces = text.split()
+        try:
+            return b"".join([known[p] for p in pieces])
+        except KeyError:
+            pass
+        if len(known) >= pieces_kept:
+            known.clear()
         for p in pieces:
-            out += known[p]
-        return out
+            if p not in known:
+                known[p] = piece_ids(p)
+        return b"".join([known[p] for p in pieces])
 
     return ids
 
@@ -174,28 +198,28 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int = FILE
         from pyspark import TaskContext
 
         encode, part, seq = splitter(tokenizer), TaskContext.get().partitionId(), 0
+        end = int(end_id).to_bytes(4, "little")
         names, lengths, parts, total = [], [], [], 0
         schema = pa.schema([("_part", pa.int32()), ("_seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
         def close():
-            payload = write_file(names, lengths, np.concatenate(parts) if parts else np.zeros(0, np.uint32))
+            payload = write_file(names, lengths, np.frombuffer(b"".join(parts), "<u4"))
             return pa.RecordBatch.from_pydict({"_part": [part], "_seq": [seq], "n_docs": [len(names)], "n_ids": [total], "payload": [payload]}, schema)
 
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(t or "")
-                ids.append(end_id)
+                ids = encode(t or b"") + end
                 names.append(d)
-                lengths.append(len(ids))
-                parts.append(np.array(ids, np.uint32))
-                total += len(ids)
+                lengths.append(len(ids) // 4)
+                parts.append(ids)
+                total += len(ids) // 4
                 if total >= file_ids:
                     yield close()
                     names, lengths, parts, total, seq = [], [], [], 0, seq + 1
         if names:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return save(rows.mapInArrow(files, FILES), "tokens")
 

@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 _FOLD = {ord(a): b for a, b in HOMOGLYPHS.items()}
 _FOLD |= {0xFF41 + k: chr(97 + k) for k in range(26)}  # full-width letters, after lower-casing
 _FOLD |= {c: None for c in (0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}  # invisible characters
+#: Shorter texts count as so many words, so that one weak hit in a few words is no verdict.
+SHORT = 50
 _SUB = {ord(a): b for a, b in SUBSTITUTES.items()}
 _SIGNS = re.compile(r"[013457 8@$!]*[013457 8@$!](?=[^\W\d_])".replace(" ", ""))
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -81,7 +84,7 @@ class Lexicon:
             elif weight > hits.get(start, (0.0, 0))[0]:  # of terms that begin one word the heaviest counts
                 hits[start] = (weight, end)
         total = sum(w for start, (w, end) in hits.items() if not any(a <= start and end <= b for a, b in covered))
-        return total / len(words) ** self.power
+        return total / max(len(words), SHORT) ** self.power
 
     def score(self, text: str | None) -> float:
         """0 to 1; 0.7 at the cut."""
@@ -103,100 +106,99 @@ class Limits:
 def learn(rows: list[tuple[str, int]], limits: Limits = Limits()) -> Lexicon:
     """Fit a lexicon to (text, toxic) pairs.
 
-    Candidate terms are word starts of 3 characters and more.  A term counts once per
-    family of documents (those with the same least word hash, so that copies of one
-    document prove nothing), and it must be too one-sided for chance given the number
-    of candidates.  Documents that accepted terms explain no longer count for the
-    next round, so that terms of a small language stand out too.
+    Candidate terms are word starts of 3 characters and more, each with the least
+    number of hits (1 to 3) in a document that counts.  A term counts once per family
+    of documents (those with the same least word hash, so that copies of one document
+    prove nothing), and it must be too one-sided for chance given the number of
+    candidates.  Documents that accepted terms explain no longer count for the next
+    one, so that terms of a small language stand out too; then all terms that are
+    one-sided over all toxic documents join.
     """
-    from zlib import crc32
-
     docs = []
     for text, toxic in rows:
         words = words_of(text)
-        unique = set(words)
+        unique = Counter(words)
         family = min((crc32(w.encode()) for w in unique if len(w) > 4), default=0)
         docs.append((int(bool(toxic)), unique, family, words))
     families = Counter(d[2] for d in docs)
-    starts: dict[str, set[int]] = defaultdict(set)
+    n_clean = sum(1 for d in docs if not d[0])
+    n_toxic = len(docs) - n_clean
+    hits: dict[str, dict[int, int]] = defaultdict(dict)  # term -> toxic document -> hits
+    clean: dict[str, list[int]] = {}  # term -> clean documents with at least 1, 2, 3 hits, and hits
     for k, (toxic, unique, _, _) in enumerate(docs):
         if toxic:
-            for w in unique:
+            for w, c in unique.items():
                 for n in range(3, min(len(w), limits.longest) + 1):
-                    starts[w[:n]].add(k)
-    clean_with: Counter = Counter()
+                    of = hits[w[:n]]
+                    of[k] = of.get(k, 0) + c
+    hits = {t: of for t, of in hits.items() if len(of) >= 3}
     for toxic, unique, _, _ in docs:
         if not toxic:
-            clean_with.update({w[:n] for w in unique for n in range(3, min(len(w), limits.longest) + 1)} & starts.keys())
-    n_clean = sum(1 for d in docs if not d[0])
-    open_docs = {k for k, d in enumerate(docs) if d[0]}
+            own: Counter = Counter()
+            for w, c in unique.items():
+                for n in range(3, min(len(w), limits.longest) + 1):
+                    if w[:n] in hits:
+                        own[w[:n]] += c
+            for t, c in own.items():
+                of = clean.setdefault(t, [0, 0, 0, 0])
+                for m in range(min(c, 3)):
+                    of[m] += 1
+                of[3] += min(c, 6)
+    need = math.log(max(2, 3 * len(hits)) / 0.01)
+    # (term, hits asked for): the toxic documents; only those that can ever be one-sided
+    where = {}
+    for t, of in hits.items():
+        for m in (1, 2, 3):
+            own = {k for k, c in of.items() if c >= m}
+            if len(own) >= 3 and len({docs[k][2] for k in own}) >= 0.8 / 0.2 * clean.get(t, (0, 0, 0))[m - 1] * 0.999:
+                where[t, m] = own
+
+    def bits(own: set[int], t: str, m: int, rate: float, least: float) -> float:
+        """How unlikely so one-sided a term is if toxic documents are ``rate`` of all."""
+        fam, bad = len({docs[k][2] for k in own}), clean.get(t, (0, 0, 0))[m - 1]
+        if fam < 3 or not 0 < rate < 1:
+            return 0.0
+        p = fam / (fam + bad)
+        if p < least or p <= rate:
+            return 0.0
+        return (fam + bad) * (p * math.log(p / rate) + (0.0 if p == 1 else (1 - p) * math.log((1 - p) / (1 - rate))))
+
     weights: dict[str, float] = {}
+
+    def accept(term: str, m: int, support: dict) -> set[int]:
+        """Take the longest start that keeps nearly all of the support; return its documents."""
+        n_best = len(support[term, m])
+        same = [t for t, k in support if k == m and (t.startswith(term) or term.startswith(t)) and len(support[t, k]) >= 0.97 * n_best]
+        stem = max(same, key=lambda t: (len(t), t))
+        bad = (sum(min(c, 6) for c in hits[stem].values()) + 0.5) / max(1, n_toxic)
+        good = (clean.get(stem, (0, 0, 0, 0))[3] + 0.5) / max(1, n_clean)
+        weights[stem] = min(max(math.log(bad / good), 0.1), 6.0)
+        return where[stem, m]
+
+    open_docs = {k for k, d in enumerate(docs) if d[0]}
     while open_docs and len(weights) < limits.terms:
         rate = len(open_docs) / max(1, len(open_docs) + n_clean)
-        need = math.log(max(2, len(starts)) / 0.01)
-        support = {}
-        for term, where in starts.items():
-            left = where & open_docs
-            if len(left) < 3:
-                continue
-            fam = len({docs[k][2] for k in left})
-            if fam < 3:
-                continue
-            share = max(clean_with[term] / n_clean if n_clean else 0.0, 0.0)
-            # the chance that documents with this term are so one-sided (large deviations)
-            n, p = fam + clean_with[term], fam / (fam + clean_with[term])
-            if p <= rate or p < 0.8:
-                continue
-            bits = n * (p * math.log(p / rate) + (0.0 if p == 1 else (1 - p) * math.log((1 - p) / (1 - rate))))
-            if bits > need:
-                support[term] = (len(left), bits, share)
+        support, strong = {}, {}
+        for (t, m), own in where.items():
+            left = own & open_docs
+            if len(left) >= 3 and (b := bits(left, t, m, rate, 0.8)) > need:
+                support[t, m], strong[t, m] = left, b
         if not support:
             break
-        best = max(support, key=lambda t: (support[t][1], len(t), t))
-        # the longest start that keeps nearly all of the support names the stem
-        n_best = support[best][0]
-        longer = [t for t in support if t.startswith(best) or best.startswith(t)]
-        stem = max((t for t in longer if support[t][0] >= 0.97 * n_best), key=lambda t: (len(t), t))
-        p = (len(starts[stem]) + 0.5) / (len(starts[stem]) + clean_with[stem] + 1)
-        weights[stem] = math.log(p / (1 - p)) if p < 1 else 5.0
-        weights[stem] = min(max(weights[stem], 0.1), 6.0)
-        open_docs -= starts[stem]
-        if any(stem == t for t in weights if t != stem):
+        best = max(strong, key=lambda x: (strong[x], len(x[0]), x))
+        open_docs -= accept(*best, support)
+    rate = n_toxic / max(1, len(docs))
+    support = {x: own for x, own in where.items() if bits(own, *x, rate, 0.95) > need + math.log(10) and len({docs[k][2] for k in own}) >= 10}
+    for t, m in sorted(support, key=lambda x: (-len(support[x]), x[1], -len(x[0]), x[0])):
+        if len(weights) >= limits.terms:
             break
-    # terms that never stand alone but go with the toxic documents all the same
-    _add_companions(weights, docs, starts, clean_with, n_clean, limits)
+        if not any(t.startswith(w) or w.startswith(t) for w in weights):
+            accept(t, m, support)
     lexicon = Lexicon(weights)
     lexicon.exceptions = _exceptions(lexicon, docs, limits)
     return _scaled(lexicon, docs, families)
 
 
-def _add_companions(weights, docs, starts, clean_with, n_clean, limits: Limits) -> None:
-    """Further one-sided stems, judged over all toxic documents."""
-    n_toxic = len(docs) - n_clean
-    rate, need = n_toxic / max(1, len(docs)), math.log(max(2, len(starts)) / 0.001)
-    if not 0 < rate < 1:
-        return
-    found = {}
-    for term, where in starts.items():
-        if any(term.startswith(w) or w.startswith(term) for w in (term[:n] for n in range(3, len(term) + 1)) if w in weights):
-            continue
-        fam, clean = len({docs[k][2] for k in where}), clean_with[term]
-        p = fam / (fam + clean) if fam else 0.0
-        if fam < 10 or p < 0.95:
-            continue
-        bits = (fam + clean) * (p * math.log(p / rate) + (0.0 if p == 1 else (1 - p) * math.log((1 - p) / (1 - rate))))
-        if bits > need:
-            found[term] = len(where)
-    for term in sorted(found, key=lambda t: (-found[t], -len(t), t)):
-        if len(weights) >= limits.terms:
-            return
-        if any(term.startswith(w) or w.startswith(term) for w in weights):
-            continue
-        stem = max((t for t in found if t.startswith(term) and found[t] >= 0.97 * found[term]), key=lambda t: (len(t), t))
-        p = (len(starts[stem]) + 0.5) / (len(starts[stem]) + clean_with[stem] + 1)
-        weights[stem] = min(math.log(p / (1 - p)), 6.0)
-
-
 def _exceptions(lexicon: Lexicon, docs, limits: Limits) -> frozenset:
     """Words, and words with the one before, in which a term occurs in clean documents only."""
     stems = tuple(lexicon.weights)
@@ -213,7 +215,7 @@ def _exceptions(lexicon: Lexicon, docs, limits: Limits) -> frozenset:
 def _scaled(lexicon: Lexicon, docs, families: Counter) -> Lexicon:
     """Choose the power of the length and the cut that separate the labelled documents best."""
     best = None
-    sums = [(toxic, lexicon.raw(words), max(1, len(words)), 1 / families[family]) for toxic, _, family, words in docs]
+    sums = [(toxic, lexicon.raw(words), max(SHORT, len(words)), 1 / families[family]) for toxic, _, family, words in docs]
     for power in (0.0, 0.25, 0.5, 1.0):
         values = sorted(((raw / n**power, toxic, weight) for toxic, raw, n, weight in sums), key=lambda x: x[0])
         wrong = sum(w for v, t, w in values if not t)  # if all were called toxic

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, neighbours, quality, tokens, toxicity
+from . import html, minhash, mixing, neighbours, quality, tokens, toxicity
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(tokens.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 

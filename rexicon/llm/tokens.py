@@ -152,33 +152,35 @@ def splitter(path: str, pieces_kept: int = 300_000, stems_kept: int = 700_000):
     model, known, stems = _KNOWN[path]
     cut = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
+    bpe = model.model
+
     def stem(piece: str) -> bytes:
         found = stems.get(piece)
         if found is None:
             if len(stems) >= stems_kept:
                 stems.clear()
-            found = stems[piece] = np.array(model.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            # ASCII letters in lower case pass the normaliser and the splitter as they are
+            plain = piece.isascii() and piece.isalpha()
+            own = [t.id for t in bpe.tokenize(piece)] if plain else model.encode(piece, add_special_tokens=False).ids
+            found = stems[piece] = np.array(own, "<u4").tobytes()
         return found
 
-    def piece_ids(piece: bytes) -> bytes:
-        text = piece.decode()
-        m = cut(text)
-        if m:
-            return stem(m[1].lower()) + (stem(m[2]) if m[2] else b"")
-        return stem(text)
-
     def ids(text: bytes) -> bytes:
-        pieces = text.split()
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
         if len(known) >= pieces_kept:
             known.clear()
-        for p in pieces:
-            if p not in known:
-                known[p] = piece_ids(p)
-        return b"".join([known[p] for p in pieces])
+        pieces = text.split()
+        out = list(map(known.get, pieces))
+        if None in out:
+            for k, found in enumerate(out):
+                if found is None:
+                    piece = pieces[k].decode()
+                    m = cut(piece)
+                    if m:
+                        found = stem(m[1].lower()) + (stem(m[2]) if m[2] else b"")
+                    else:
+                        found = stem(piece)
+                    known[pieces[k]] = out[k] = found
+        return b"".join(out)
 
     return ids
 

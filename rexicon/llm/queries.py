@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, linededup, minhash, mixing, neighbours, packing, quality, tokens, toxicity
+from . import html, licenses, linededup, minhash, mixing, neighbours, packing, quality, tokens, toxicity
 from .common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))

@@ -29,8 +29,8 @@ MANTISSA = 10
 ACCIDENT = 0.1699
 #: Estimates below the threshold by so many standard deviations rule a pair out before its sets are read.
 SIGMAS = 5.0
-#: Members of a bucket in one block.
-BLOCK = 256
+#: Members of a bucket in one block, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -298,12 +298,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     links = save(_checked(joined, percent, m), "star-links")
     labels = components(links)
     # What the stars have left apart: buckets that hold more than one component.
-    held = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("comp"))
+    weight = sets.groupBy("rep").agg(F.max(F.octet_length("hashes")).alias("bytes"))
+    held = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(weight, "rep").select("key", "rep", F.coalesce("label", "rep").alias("comp"), "bytes")
     held = save(held, "held")
-    mixed = held.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_m")).where("_lo <> _hi").select("key", F.ceil(F.col("_m") / block).cast("int").alias("_nb"))
-    rest = held.join(save(mixed, "mixed"), "key").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("_nb")).cast("int"))
-    # Pairs of blocks: a member goes to each group that its block is part of.
-    others = F.sequence(F.lit(0), F.col("_nb") - 1)
+    # Per bucket, blocks for its largest component and for the others: the first ones meet only the others.
+    parts = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("_big"), F.max(F.struct("n", "bytes")).alias("_b"), F.sum("n").alias("_n"), F.sum("bytes").alias("_bytes"), F.count(F.lit(1)).alias("_comps")).where("_comps > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    mixed = save(mixed.select("key", "_big", blocks(F.col("_n") - F.col("_b.n"), F.col("_bytes") - F.col("_b.bytes")).alias("_small"), blocks(F.col("_b.n"), F.col("_b.bytes")).alias("_large")), "mixed")
+    rest = held.drop("bytes").join(mixed, "key")
+    big, hash_ = F.col("comp") == F.col("_big"), F.xxhash64("rep")
+    rest = rest.withColumn("blk", F.when(big, F.col("_small") + F.pmod(hash_, F.col("_large"))).otherwise(F.pmod(hash_, F.col("_small"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(big, F.col("_small")).otherwise(F.col("_small") + F.col("_large")) - 1)
     rest = rest.withColumn("_o", F.explode(others)).select("key", F.least("blk", "_o").alias("i"), F.greatest("blk", "_o").alias("j"), "blk", "rep", "comp")
     more = save(_blocks(rest.join(sets, "rep"), percent, m), "block-links")
     if not more.isEmpty():

@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from sys import intern
 from zlib import crc32
 
 import pyarrow as pa
@@ -96,8 +97,8 @@ class Lexicon:
 class Limits:
     """Bounds of what is learned from: labelled rows per class, terms and exceptions."""
 
-    toxic_rows: int = 3000
-    clean_rows: int = 6000
+    toxic_rows: int = 1000
+    clean_rows: int = 3000
     terms: int = 2000
     exceptions: int = 500
     longest: int = 12
@@ -116,22 +117,26 @@ def learn(rows: list[tuple[str, int]], limits: Limits = Limits()) -> Lexicon:
     """
     docs = []
     for text, toxic in rows:
-        words = words_of(text)
+        words = [intern(w) for w in words_of(text)]
         unique = Counter(words)
         family = min((crc32(w.encode()) for w in unique if len(w) > 4), default=0)
         docs.append((int(bool(toxic)), unique, family, words))
     families = Counter(d[2] for d in docs)
     n_clean = sum(1 for d in docs if not d[0])
     n_toxic = len(docs) - n_clean
-    hits: dict[str, dict[int, int]] = defaultdict(dict)  # term -> toxic document -> hits
+    starts: Counter = Counter()
+    for toxic, unique, _, _ in docs:
+        if toxic:
+            starts.update({w[:n] for w in unique for n in range(3, min(len(w), limits.longest) + 1)})
+    hits: dict[str, dict[int, int]] = {t: {} for t, n in starts.items() if n >= 3}  # term -> toxic document -> hits
+    del starts
     clean: dict[str, list[int]] = {}  # term -> clean documents with at least 1, 2, 3 hits, and hits
     for k, (toxic, unique, _, _) in enumerate(docs):
         if toxic:
             for w, c in unique.items():
                 for n in range(3, min(len(w), limits.longest) + 1):
-                    of = hits[w[:n]]
-                    of[k] = of.get(k, 0) + c
-    hits = {t: of for t, of in hits.items() if len(of) >= 3}
+                    if (of := hits.get(w[:n])) is not None:
+                        of[k] = of.get(k, 0) + c
     for toxic, unique, _, _ in docs:
         if not toxic:
             own: Counter = Counter()

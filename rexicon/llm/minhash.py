@@ -141,26 +141,26 @@ def _floor(percent: int, m: int) -> float:
 
 
 def sketches(docs: DataFrame, k: int, sketcher_args: tuple = (BANDS, ROWS)) -> DataFrame:
-    """``_id, _n, _fp, _regs`` of every row: id, set size, fingerprint of the set, registers."""
+    """``_id, _th, _n, _fp, _regs`` of every row: id, text hash, set size, fingerprint of the set, registers."""
 
     def rows(batches):
         from xxhash import xxh3_128_digest
 
         sketcher = Sketcher(*sketcher_args)
         for batch in batches:
-            sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, k) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:2],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([sketcher.registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["_id", "_n", "_fp", "_regs"],
+                names=["_id", "_th", "_n", "_fp", "_regs"],
             )
 
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.col("text").cast("binary").alias("_text"))
-    return source.mapInArrow(rows, "_id long, _n long, _fp binary, _regs binary")
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_text"))
+    return source.mapInArrow(rows, "_id long, _th long, _n long, _fp binary, _regs binary")
 
 
 def _bands(classes: DataFrame, sketcher_args: tuple) -> DataFrame:
@@ -284,6 +284,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     is given back as null; rows that share a doc_id are one node of the graph, each
     with its own set.  An empty table gives an empty result; other columns are ignored.
     """
+    out = _judged(docs, k, percent, bands, rows, block)
+    null_id = lambda c: F.when(c != NULL_ID, c)
+    return out.select(null_id(F.col("_id")).alias("doc_id"), F.col("_n").alias("n_shingles"), null_id(F.col("_found")).alias("component_id"), (F.col("_id") == F.col("_found")).alias("kept"))
+
+
+def _judged(docs: DataFrame, k: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
+    """``_id, _th, _n, _found`` of every row: its key, set size and component."""
     args, m = (bands, rows), bands * rows
     base = save(sketches(docs, k, args), "sketches")
     classes = save(base.where("_fp is not null").groupBy("_fp").agg(F.min("_id").alias("rep"), F.first("_regs").alias("_regs")), "classes")
@@ -315,15 +322,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     of_class = classes.select("_fp", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("_fp", F.coalesce("label", "rep").alias("_label"))
-    out = base.select("_id", "_n", "_fp").join(save(of_class, "labels"), "_fp", "left")
-    found = F.coalesce("_label", "_id")
-    null_id = lambda c: F.when(c != NULL_ID, c)
-    return out.select(null_id(F.col("_id")).alias("doc_id"), F.col("_n").alias("n_shingles"), null_id(found).alias("component_id"), (F.col("_id") == found).alias("kept"))
+    out = base.select("_id", "_th", "_n", "_fp").join(save(of_class, "labels"), "_fp", "left")
+    return out.select("_id", "_th", "_n", F.coalesce("_label", "_id").alias("_found"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all columns, without documents that have a near-duplicate of smaller doc_id."""
-    out = near_duplicates(docs, **options).where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_gone")).distinct()
-    keyed = put(docs, _rx_id=F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    gone = _judged(docs, k, percent, bands, rows, block).where("_id <> _found").select(F.col("_id").alias("_rx_id"), F.col("_th").alias("_rx_th")).distinct()
+    keyed = put(docs, _rx_id=F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), _rx_th=F.xxhash64("text"))
     names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
-    return keyed.join(save(out, "gone"), F.col("_rx_id") == F.col("_gone"), "left_anti").select(*names)
+    return keyed.join(save(gone, "gone"), ["_rx_id", "_rx_th"], "left_anti").select(*names)

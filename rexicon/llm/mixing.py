@@ -45,7 +45,7 @@ def inverse(share: Column, knots) -> Column:
         slope = (r1 - r0) / (t1 - t0)
         # r0 * x + slope / 2 * x ** 2 = rest, in the form that is stable for small slopes
         root = F.sqrt(F.greatest(F.lit(r0 * r0) + F.lit(2.0 * slope) * rest, F.lit(0.0)))
-        t = F.least(F.lit(t0) + F.lit(2.0) * rest / (F.lit(r0) + root), F.lit(t1))
+        t = F.least(F.lit(t0) + F.lit(2.0) * rest / F.greatest(F.lit(r0) + root, F.lit(1e-300)), F.lit(t1))
         before += area
         last = i == len(segments) - 1
         out = F.when(F.lit(True) if last else share < F.lit(before), t) if out is None else out.when(F.lit(True) if last else share < F.lit(before), t)
@@ -147,14 +147,13 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     share a doc_id are told apart by their number of words; rows equal in both are
     one document repeated.
     """
-    plan = mix(docs, **options).select("doc_id", "size", "source", "whole", "positions")
-    plan = plan.groupBy("doc_id", "size", "source").agg(F.max("whole").alias("_whole"), F.max("positions").alias("_positions"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_src"), "_whole", "_positions")
+    plan = mix(docs, **options).groupBy("doc_id", "size", "source").agg(F.max("whole").alias("_rx_whole"), F.max("positions").alias("_rx_places"))
+    plan = plan.select(F.col("doc_id").alias("_rx_id"), F.col("size").alias("_rx_words"), F.col("source").alias("_rx_source"), "_rx_whole", "_rx_places")
     sized = put(docs, _rx_size=n_words(F.col("text")))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_rx_size") == F.col("_size")) & F.col("source").eqNullSafe(F.col("_src"))
-    both = sized.join(plan, on).where(F.col("_whole") > 0)
-    last = F.element_at("_positions", -1)
-    copies = F.transform(F.sequence(F.lit(0), F.col("_whole") - 1), lambda k: F.coalesce(F.get("_positions", k), last, F.lit(0.0)))
-    both = both.withColumn("_at", F.explode(copies))
+    on = F.col("doc_id").eqNullSafe(F.col("_rx_id")) & (F.col("_rx_size") == F.col("_rx_words")) & F.col("source").eqNullSafe(F.col("_rx_source"))
+    both = sized.join(plan, on).where(F.col("_rx_whole") > 0)
+    last = F.try_element_at("_rx_places", F.lit(-1))
+    copies = F.transform(F.sequence(F.lit(0), F.col("_rx_whole") - 1), lambda k: F.coalesce(F.get("_rx_places", k), last, F.lit(0.0)))
+    both = both.withColumn("_rx_at", F.explode(copies))
     names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
-    return both.orderBy("_at", "doc_id").select(*names)
+    return both.orderBy("_rx_at", "doc_id").select(*names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,9 @@ PUSHED_TOKENS = 2000
 
 def _small(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A small table; the step tables' size is bounded by ``MAX_STEPS``, so it is broadcast."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    names = [c.split()[0] for c in schema.split(", ")]
+    columns = [pa.array(c, pa.int32()) for c in zip(*rows)]
+    return F.broadcast(spark.createDataFrame(pa.Table.from_arrays(columns, names=names)))
 
 
 def _among(postings: DataFrame, tokens: set[int], buckets: int | None) -> DataFrame:

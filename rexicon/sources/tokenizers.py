@@ -74,6 +74,7 @@ class BpeTokenizer:
         with open(path, encoding="utf-8") as f:
             self.model = json.load(f)
         self.path, self.mapping = path, check_mapping(mapping or {})
+        self._vocabulary: dict[int, bytes] = {}
         self.special = {t["id"] for t in self.model.get("added_tokens") or []}
         by_name = {t["content"]: t["id"] for t in self.model.get("added_tokens") or []}
         self.bos = bos if bos is not None else by_name.get("<s>")
@@ -83,7 +84,9 @@ class BpeTokenizer:
         return {"kind": "bpe", "path": self.path, "mapping": self.mapping, "bos": self.bos, "eos": self.eos}
 
     def vocabulary(self) -> dict[int, bytes]:
-        return {i: to_bytes(t) for t, i in self.model["model"]["vocab"].items() if i not in self.special}
+        if not self._vocabulary:
+            self._vocabulary.update((i, to_bytes(t)) for t, i in self.model["model"]["vocab"].items() if i not in self.special)
+        return self._vocabulary
 
     def vocab_size(self) -> int:
         return len(set(self.model["model"]["vocab"].values()) | self.special)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, licenses, linededup, minhash, mixing, neighbours, packing, quality, tokens, toxicity
+from . import html, licenses, linededup, minhash, mixing, neighbours, packing, quality, sql, tokens, toxicity
 from .common import table
 
 
@@ -61,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return sql.oracle_sql()

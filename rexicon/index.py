@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import match
-from .functions.syntax import parse
+from .functions.syntax import nullable, parse
 from .operators import postings as P
 from .operators.search import candidates
 from .plans.planner import Plan, plan
@@ -14,8 +14,13 @@ from .sources import store
 from .sources.corpora import text_rows
 from .sources.tokenizers import from_spec
 
-#: Directories of the postings, by token id modulo this.
-BUCKETS = 64
+#: Directories of the postings, by token id modulo this; up to 32 are listed without a job of their own.
+BUCKETS = 32
+
+
+#: Below so many postings mode ``auto`` scans.
+SMALL = 50_000_000
+STATS = "token_id int, n_docs long, n_postings long"
 
 
 class RegexIndex:
@@ -28,6 +33,8 @@ class RegexIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._frames: dict[tuple, DataFrame] = {}  # keeps file listings between searches
+        self._frequencies: tuple | None = None
         self._load()
 
     def _load(self) -> None:
@@ -41,7 +48,7 @@ class RegexIndex:
         if store.exists(spark, f"{path}/{store.META}") and not overwrite:
             raise FileExistsError(f"there is an index at {path}")
         store.delete(spark, path)
-        store.write_meta(spark, path, {"generations": [], "tombstones": [], "tokenizer": tokenizer.spec(), "buckets": BUCKETS})
+        store.write_meta(spark, path, {"generations": [], "tombstones": [], "tokenizer": tokenizer.spec(), "buckets": BUCKETS, "n_postings": {}})
         out = cls(spark, path)
         out.append(df, key, text, name="g0")
         return out
@@ -51,7 +58,14 @@ class RegexIndex:
         rows = P.explode(tokens).withColumn("bucket", F.col("token_id") % BUCKETS)
         rows = rows.repartitionByRange("bucket", "token_id", "doc_id").sortWithinPartitions("bucket", "token_id", "doc_id", "pos")
         rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{name}")
+        self._finish(name)
+
+    def _finish(self, name: str) -> None:
+        """Statistics of a generation that has just been written."""
+        self._frames, self._frequencies = {}, None
         P.statistics(self._postings([name])).write.mode("overwrite").parquet(f"{self.path}/stats/{name}")
+        total = self._read("stats", STATS, [name]).agg(F.coalesce(F.sum("n_postings"), F.lit(0))).first()[0]
+        self.meta["n_postings"][name] = int(total)
 
     def append(self, df: DataFrame, key: str = "doc_id", text: str = "text", name: str | None = None) -> str:
         """Add rows as a generation; the same ``name`` again replaces it, so a batch can be repeated."""
@@ -60,7 +74,7 @@ class RegexIndex:
         self._write(self.tokenizer.tokenize(text_rows(df, key, text), special=True), name)
         if name not in self.meta["generations"]:
             self.meta["generations"].append(name)
-            store.write_meta(self.spark, self.path, self.meta)
+        store.write_meta(self.spark, self.path, self.meta)
         return name
 
     def delete(self, ids: DataFrame, key: str = "doc_id") -> None:
@@ -80,9 +94,9 @@ class RegexIndex:
         rows = live.repartitionByRange("bucket", "token_id", "doc_id").sortWithinPartitions("bucket", "token_id", "doc_id", "pos")
         rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{name}")
         self.documents().write.mode("overwrite").parquet(f"{self.path}/docs/{name}")
-        P.statistics(self._postings([name])).write.mode("overwrite").parquet(f"{self.path}/stats/{name}")
+        self._finish(name)
         graves = self.meta["tombstones"]
-        self.meta |= {"generations": [name], "tombstones": []}
+        self.meta |= {"generations": [name], "tombstones": [], "n_postings": {name: self.meta["n_postings"][name]}}
         store.write_meta(self.spark, self.path, self.meta)
         for kind in ("postings", "docs", "stats"):
             for g in old:
@@ -103,7 +117,9 @@ class RegexIndex:
             return self.spark.createDataFrame([], schema)
         out = None
         for p in paths:
-            own = self.spark.read.schema(schema).parquet(p)
+            own = self._frames.get((p, schema))
+            if own is None:
+                own = self._frames[p, schema] = self.spark.read.schema(schema).parquet(p)
             out = own if out is None else out.unionByName(own)
         return out
 
@@ -125,11 +141,18 @@ class RegexIndex:
 
     def statistics(self) -> DataFrame:
         """Documents and postings per token; deleted ones count until ``compact``."""
-        return self._read("stats", "token_id int, n_docs long, n_postings long", self.meta["generations"]).groupBy("token_id").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_postings").alias("n_postings"))
+        return self._read("stats", STATS, self.meta["generations"]).groupBy("token_id").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_postings").alias("n_postings"))
 
     def plan(self, pattern: str, mode: str = "auto", recheck: bool | None = None) -> Plan:
         """How ``search`` would go; the vocabulary bounds what is read from the statistics."""
-        frequencies = {r.token_id: r.n_postings for r in self.statistics().collect()} if mode == "auto" else None
+        frequencies = None
+        if mode == "auto":
+            if sum(self.meta["n_postings"].values()) < SMALL and not nullable(parse(pattern)):
+                return Plan(pattern, "scan", False, why=f"fewer than {SMALL} postings: a scan ends before the index's jobs have begun")
+            names = tuple(self.meta["generations"])
+            if self._frequencies is None or self._frequencies[0] != names:
+                self._frequencies = (names, {r.token_id: r.n_postings for r in self.statistics().collect()})
+            frequencies = self._frequencies[1]
         return plan(pattern, self.tokenizer.vocabulary(), self.tokenizer.mapping, frequencies, mode, recheck)
 
     def candidates(self, pattern: str) -> tuple[DataFrame, bool]:

@@ -62,6 +62,13 @@ def put(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in pieces of few rows, so that a worker never holds what it makes of a whole batch of long texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete what the operators have written to the shared folder."""
     jvm = spark.sparkContext._jvm

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # Elements by how they are treated.
 HIDDEN = frozenset("script style noscript template head title svg math iframe object audio video canvas select textarea button datalist".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -233,7 +235,7 @@ def extract(pages: DataFrame, weights: Weights) -> DataFrame:
 
     def rows(batches):
         own = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [text_of(p, run_of(p, own)) for p in map(parse, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

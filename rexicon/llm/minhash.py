@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, put, save
+from .common import NULL_ID, put, save, slices
 from .graph import components
 
 #: 32 bands of 5 registers: a pair at 0.8 is missed with a chance of (1 - 0.8 ** 5) ** 32 = 3e-6.
@@ -45,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _word_hashes(words: list[bytes], known: dict) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    if len(known) > 300_000:
+    if len(known) > 100_000:
         known.clear()
     try:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -147,7 +147,7 @@ def sketches(docs: DataFrame, k: int, sketcher_args: tuple = (BANDS, ROWS)) -> D
         from xxhash import xxh3_128_digest
 
         sketcher = Sketcher(*sketcher_args)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, k) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -168,7 +168,7 @@ def _bands(classes: DataFrame, sketcher_args: tuple) -> DataFrame:
 
     def rows(batches):
         sketcher = Sketcher(*sketcher_args)
-        for batch in batches:
+        for batch in slices(batches):
             if not batch.num_rows:
                 continue
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, sketcher.m)
@@ -184,7 +184,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, sketcher_args: tuple) -> D
 
     def rows(batches):
         sketcher = Sketcher(*sketcher_args)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
             live = [j for j, s in enumerate(sets) if len(s)]
             yield pa.RecordBatch.from_arrays(
@@ -201,7 +201,7 @@ def _checked(pairs: DataFrame, percent: int, m: int) -> DataFrame:
 
     def rows(batches):
         least = _floor(percent, m)
-        for batch in batches:
+        for batch in slices(batches):
             a, b, ra, rb, ha, hb = (batch.column(j).to_pylist() for j in range(6))
             keep = []
             for j in range(batch.num_rows):
@@ -259,7 +259,7 @@ def _blocks(members: DataFrame, percent: int, m: int) -> DataFrame:
             found = list(found)
             return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for k, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(8))):
                 if (k, i, j) != key:
                     if len(group) > 1:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, put
+from .common import n_words, slices
 
 CAPACITY = 2048
 #: A bin holds at most so many documents of one source, and one of a cluster.
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, source_limit: int = SOURCE_L
             )
 
         at, group = None, []
-        for batch in batches:
+        for batch in slices(batches):
             for own, *row in zip(*(batch.column(j).to_pylist() for j in range(5))):
                 if own != at:
                     if group:

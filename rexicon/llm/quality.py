@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, put
+from .common import WORD, put, slices
 
 SYMBOLS = "#*$%&|<>"
 #: Ratio of the bounds of a sketch's bin, and the values below which all are one bin.
@@ -87,7 +87,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     """``doc_id, lang, source`` and the counts of every document."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [counts(t) for t in batch.column(3).to_pylist()]
             columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "lang", "source", *COUNTS])

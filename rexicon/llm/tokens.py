@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, slices
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -208,7 +208,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int = FILE
             payload = write_file(names, lengths, np.frombuffer(b"".join(parts), "<u4"))
             return pa.RecordBatch.from_pydict({"_part": [part], "_seq": [seq], "n_docs": [len(names)], "n_ids": [total], "payload": [payload]}, schema)
 
-        for batch in batches:
+        for batch in slices(batches):
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(t or b"") + end
                 names.append(d)
@@ -237,7 +237,7 @@ def read(files: DataFrame) -> DataFrame:
         import zlib
 
         schema = pa.schema([("_part", pa.int32()), ("_seq", pa.int32()), ("doc_id", pa.int64()), ("_at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-        for batch in batches:
+        for batch in slices(batches):
             for part, seq, payload in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 file = Reader(payload)
                 crcs = [zlib.crc32(file.document(k).astype("<u4").tobytes()) for k in range(len(file.doc_ids))]

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # Letters of other scripts that look like Latin letters.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "һ": "h", "ԛ": "q", "ԝ": "w",
@@ -269,7 +271,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def rows(batches):
         scored = sent.value.score
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scored(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, score double")
@@ -282,7 +284,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, cut: float = 0.7) -> DataFrame
 
     def rows(batches):
         scored = sent.value.score
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([scored(t) < cut for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)

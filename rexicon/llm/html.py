@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_sample, slices
 
 # Elements by how they are treated.
 HIDDEN = frozenset("script style noscript template head title svg math iframe object audio video canvas select textarea button datalist".split())
@@ -220,9 +220,9 @@ def learn(htmls: list[str], passes: int = PASSES) -> Weights:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Weights from the labelled pages among the ``sample`` pages of least id hash."""
-    rows = pages.select("page_id", "html").where(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).collect()
-    return learn([r.html for r in rows])
+    """Weights from the labelled pages among at most ``sample`` pages, those of least id hash."""
+    rows = bounded_sample(pages.select("page_id", "html").where("page_id is not null and html is not null"), "page_id", sample).collect()
+    return learn([r.html for r in sorted(rows, key=lambda r: (r.page_id, r.html))])
 
 
 def extract(pages: DataFrame, weights: Weights) -> DataFrame:

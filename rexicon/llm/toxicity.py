@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_sample, slices
 
 # Letters of other scripts that look like Latin letters.
 HOMOGLYPHS = {
@@ -256,8 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Lexi
     """
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_id is not null and _toxic is not null")
     usable = usable.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("_toxic").alias("_toxic"), F.max("_toxic").alias("_most")).where("_toxic = _most").drop("_most")
-    order = [F.xxhash64("_id"), F.col("_id")]
-    picked = usable.where("_toxic = 1").orderBy(*order).limit(limits.toxic_rows).unionByName(usable.where("_toxic = 0").orderBy(*order).limit(limits.clean_rows))
+    picked = bounded_sample(usable.where("_toxic = 1"), "_id", limits.toxic_rows).unionByName(bounded_sample(usable.where("_toxic = 0"), "_id", limits.clean_rows))
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(picked, "_id").select("_id", "_text", "_toxic").collect()
     return learn([(r._text, r._toxic) for r in sorted(rows, key=lambda r: (r._id, r._text or ""))], limits)
 

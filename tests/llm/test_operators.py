@@ -171,6 +171,19 @@ def test_line_dedup_catches_passages():
     assert "".join(text[a:b] for a, b in spans).replace(" ", "") == text.replace(" ", "").replace("\n", "")
 
 
+def test_line_dedup_cuts_spliced_passages(spark):
+    """Passages in the middle of lines, without sentence ends, and of words parted by tabs or line breaks go whole."""
+    passage, table = prose(60), "\t".join(prose(60).split())
+    a, b, c, d = (prose(20) for _ in range(4))
+    texts = [f"{a} {passage} {b}.", f"{c} {passage} {d}.", prose(9) + "\n" + table + "\n" + prose(9), c + "\n" + table + "\n" + d]
+    texts += ["".join(chr(0x4E00 + RND.randrange(9000)) for _ in range(30)) for _ in range(4)]
+    shared = "".join(chr(0x4E00 + RND.randrange(9000)) for _ in range(90))
+    texts = [*texts[:4], texts[4] + shared + texts[5], texts[6] + shared + texts[7]]
+    out = {r["doc_id"]: r["text"] for r in collected(linededup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert [out[k] for k in (0, 2, 4)] == [texts[k] for k in (0, 2, 4)]
+    assert out[1] == f"{c} {d}." and out[3] == c + "\n" + d and out[5] == texts[5].replace(shared, "")
+
+
 # 5 -- packing
 
 

@@ -184,6 +184,15 @@ def test_line_dedup_cuts_spliced_passages(spark):
     assert out[1] == f"{c} {d}." and out[3] == c + "\n" + d and out[5] == texts[5].replace(shared, "")
 
 
+def test_line_dedup_blocks_are_consecutive_in_both(spark):
+    """Short lines that stand together only in the later document, of different holders or far apart in one, stay."""
+    parts = [prose(5).capitalize() + "." for _ in range(4)]
+    fill = [prose(12).capitalize() + "." for _ in range(8)]
+    texts = [f"{fill[0]} {parts[0]} {fill[1]} {parts[1]} {fill[2]}", f"{fill[3]} {parts[2]} {fill[4]}", f"{fill[5]} {parts[0]} {parts[2]} {parts[1]} {fill[6]}", f"{fill[7]} {parts[0]} {parts[2]}"]
+    out = {r["doc_id"]: r["text"] for r in collected(linededup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert [out[k] for k in range(3)] == texts[:3] and out[3] == fill[7]
+
+
 # 5 -- packing
 
 

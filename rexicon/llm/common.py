@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The words of the contracts: runs of anything but space, tab, LF, VT, FF and CR.
@@ -18,13 +18,15 @@ NULL_ID = (1 << 63) - 1
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder of
-    this machine is set once per session.
+    Where a session on one machine names none (tests), a temporary folder is set once
+    per session; on a cluster that would scatter files, so it is an error.
     """
     for key in ("spark.checkpoint.dir", "spark.rexicon.shared.dir"):
         found = spark.conf.get(key, None)
         if found:
             return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = "file://" + tempfile.mkdtemp(prefix="rexicon-")
     spark.conf.set("spark.rexicon.shared.dir", own)
     return own
@@ -34,7 +36,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rexicon/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str, sort: bool = False) -> DataFrame:
+def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here.
 
     Lost executors cost no more than a re-read; a task that is run again replaces
@@ -62,16 +64,32 @@ def put(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add the rank of each row, from 0, in a total order: a range sort and one count per range."""
+    rows = df.orderBy(*order).withColumn("_rx_no", F.monotonically_increasing_id())
+    rows = save(rows, "ranked")
+    spot = F.shiftrightunsigned("_rx_no", 33)
+    counts = rows.groupBy(spot.alias("_rx_range")).agg(F.count(F.lit(1)).alias("_rx_n"))  # one row per range
+    upto = Window.orderBy("_rx_range").rowsBetween(Window.unboundedPreceding, 0)
+    before = counts.select("_rx_range", (F.sum("_rx_n").over(upto) - F.col("_rx_n")).alias("_rx_before"))
+    rows = rows.join(before, spot == F.col("_rx_range"))
+    return rows.withColumn(name, F.col("_rx_before") + F.col("_rx_no").bitwiseAND(F.lit((1 << 33) - 1))).drop("_rx_no", "_rx_range", "_rx_before")
+
+
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most ``n`` rows, those of least key hash.
+    """At most ``n`` rows, those of least key hash, whatever the size of the table.
 
-    Of a large table a filter on the hash leaves about ``4 * n`` rows first, so what
-    tasks send to be ordered does not grow with their number.
+    A filter on the same hash leaves about ``4 * n`` rows first, so what tasks send to
+    be ordered does not grow with their number; should it leave fewer than ``n``, as
+    it does where many rows share few keys, all are ordered.
     """
     order, total = F.xxhash64(key), df.count()
+    least = df
     if total > 4 * n:
-        df = df.where(F.pmod(order, F.lit(1 << 31)) < F.lit(int(4 * n / total * (1 << 31))))
-    return df.orderBy(order, key).limit(n)
+        least = df.where(order < F.lit(int(4 * n / total * (1 << 64)) - (1 << 63)))
+        if least.limit(n).count() < n:
+            least = df
+    return least.orderBy(order, key).limit(n)
 
 
 def slices(batches, rows: int = 256):

@@ -179,40 +179,96 @@ def _bands(classes: DataFrame, sketcher_args: tuple) -> DataFrame:
     return classes.select("rep", "_regs").mapInArrow(rows, "key long, rep long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int, sketcher_args: tuple) -> DataFrame:
-    """``rep, regs, hashes`` of the documents whose id is in ``wanted`` (``rep``)."""
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``rep, hashes`` of the documents that ``wanted`` (``rep, _id, _th``) names, each once however often its row is repeated."""
 
     def rows(batches):
-        sketcher = Sketcher(*sketcher_args)
         for batch in slices(batches):
-            sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
-            live = [j for j, s in enumerate(sets) if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(live, pa.int64())), pa.array([sketcher.registers(sets[j]).tobytes() for j in live], pa.binary()), pa.array([sets[j].tobytes() for j in live], pa.binary())],
-                names=["rep", "regs", "hashes"],
-            )
+            sets = [shingles(t, k).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "hashes"])
 
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rep"), F.col("text").cast("binary").alias("_text"))
-    return source.join(wanted, "rep", "left_semi").mapInArrow(rows, "rep long, regs binary, hashes binary")
+    source = keyed(docs).select("_id", "_th", F.col("text").cast("binary").alias("_text"))
+    once = source.join(wanted, ["_id", "_th"]).groupBy("_id", "_th").agg(F.first("rep").alias("rep"), F.first("_text").alias("_text"))
+    return once.select("rep", "_text").mapInArrow(rows, "rep long, hashes binary")
 
 
-def _checked(pairs: DataFrame, percent: int, m: int) -> DataFrame:
-    """Of ``a, b, ra, rb, ha, hb`` the links ``a, b``: by estimate, then on the full sets."""
+def _likely(pairs: DataFrame, percent: int, m: int) -> DataFrame:
+    """Of ``a, b, ra, rb, na, nb`` the pairs ``a, b`` that their registers do not rule out."""
 
     def rows(batches):
         least = _floor(percent, m)
         for batch in slices(batches):
-            a, b, ra, rb, ha, hb = (batch.column(j).to_pylist() for j in range(6))
-            keep = []
-            for j in range(batch.num_rows):
-                x, y = np.frombuffer(ra[j], np.uint16), np.frombuffer(rb[j], np.uint16)
-                if estimate(x, y, len(ha[j]) // 8, len(hb[j]) // 8) >= least and similar(np.frombuffer(ha[j], np.uint64), np.frombuffer(hb[j], np.uint64), percent):
-                    keep.append(j)
-            yield pa.RecordBatch.from_arrays([pa.array([a[j] for j in keep], pa.int64()), pa.array([b[j] for j in keep], pa.int64())], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            ra, rb = (np.frombuffer(b"".join(batch.column(j).to_pylist()), np.uint16).reshape(-1, m) for j in (2, 3))
+            keep = estimate(ra, rb, batch.column(4).to_numpy(), batch.column(5).to_numpy()) >= least
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(rows, "a long, b long")
+
+
+def _checked(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of ``a, b, ha, hb`` the links ``a, b``, on the full sets."""
+
+    def rows(batches):
+        for batch in slices(batches):
+            ha, hb = (batch.column(j).to_pylist() for j in (2, 3))
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(ha, hb)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(rows, "a long, b long")
 
 
+def _grouped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of a pair of blocks (``key, i, j``) together, ordered by ``rep``."""
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").select("key", "i", "j", *columns)
+
+
+def _groups(batches, n: int):
+    """The groups of ``_grouped`` rows with ``n`` columns, one after the other: key and list of rows."""
+    key, group = None, []
+    for batch in slices(batches):
+        for k, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(3 + n))):
+            if (k, i, j) != key:
+                if len(group) > 1:
+                    yield key, group
+                key, group = (k, i, j), []
+            group.append(row)
+    if len(group) > 1:
+        yield key, group
+
+
+def _others(comp: np.ndarray, blk: np.ndarray, x: int, apart: bool) -> np.ndarray:
+    """The members after ``x`` in other components and, of two blocks, in the other one."""
+    rest = np.arange(x + 1, len(comp))
+    rest = rest[comp[rest] != comp[x]]
+    return rest[blk[rest] != blk[x]] if apart else rest
+
+
+def _screened(members: DataFrame, percent: int, m: int) -> DataFrame:
+    """Of ``key, i, j, blk, rep, comp, n, regs`` the rows that their registers pair with a member of another component."""
+
+    def rows(batches):
+        least = _floor(percent, m)
+        for (k, i, j), group in _groups(batches, 5):
+            blk, comp = np.array([g[0] for g in group]), np.array([g[2] for g in group])
+            sizes = np.array([g[3] for g in group], float)
+            regs = np.frombuffer(b"".join(g[4] for g in group), np.uint16).reshape(len(group), -1)
+            live, apart = np.zeros(len(group), bool), blk.min() != blk.max()
+            for x in range(len(group)):
+                rest = _others(comp, blk, x, apart)
+                if len(rest):
+                    near = rest[estimate(regs[rest], regs[x], sizes[rest], sizes[x]) >= least]
+                    live[near] = True
+                    live[x] |= len(near) > 0
+            if live.any():
+                kept = [g[:3] for g, l in zip(group, live) if l]
+                n = len(kept)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), *(pa.array([g[c] for g in kept], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int64())))], names=["key", "i", "j", "blk", "rep", "comp"])
+
+    return _grouped(members, ["blk", "rep", "comp", "n", "regs"]).mapInArrow(rows, "key long, i int, j int, blk int, rep long, comp long")
+
+
 def _blocks(members: DataFrame, percent: int, m: int) -> DataFrame:
     """Links between members of a bucket that are in different components.
 
@@ -232,17 +288,14 @@ def _blocks(members: DataFrame, percent: int, m: int) -> DataFrame:
                     c = of[c]
                 return c
 
-            reps, comps, blks = [g[0] for g in group], [g[1] for g in group], [g[2] for g in group]
+            blks, reps, comps = [g[0] for g in group], [g[1] for g in group], [g[2] for g in group]
             regs = np.frombuffer(b"".join(g[3] for g in group), np.uint16).reshape(len(group), -1)
             sets = [np.frombuffer(g[4], np.uint64) for g in group]
             sizes = np.array([len(s) for s in sets], float)
             comp, blk = np.array(comps), np.array(blks)
             apart = blk.min() != blk.max()
             for x in range(len(group)):
-                rest = np.arange(x + 1, len(group))
-                rest = rest[comp[rest] != comp[x]]
-                if apart:
-                    rest = rest[blk[rest] != blk[x]]
+                rest = _others(comp, blk, x, apart)
                 if not len(rest):
                     continue
                 guess = estimate(regs[rest], regs[x], sizes[rest], sizes[x])
@@ -253,25 +306,17 @@ def _blocks(members: DataFrame, percent: int, m: int) -> DataFrame:
                         of[root(comps[x])] = root(comps[y])
                         yield reps[x], reps[y]
 
-        key, group = None, []
+        for _, group in _groups(batches, 5):
+            found = list(links(group))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-        def batch_of(found):
-            found = list(found)
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+    return _grouped(members, ["blk", "rep", "comp", "regs", "hashes"]).mapInArrow(rows, "a long, b long")
 
-        for batch in slices(batches):
-            for k, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(8))):
-                if (k, i, j) != key:
-                    if len(group) > 1:
-                        yield batch_of(links(group))
-                    key, group = (k, i, j), []
-                blk, rep, comp, regs, hashes = row
-                group.append((rep, comp, blk, regs, hashes))
-        if len(group) > 1:
-            yield batch_of(links(group))
 
-    grouped = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    return grouped.select("key", "i", "j", "blk", "rep", "comp", "regs", "hashes").mapInArrow(rows, "a long, b long")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_id, _th`` added: the id, NULL_ID for null, and the hash of the text."""
+    return put(docs, _id=F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), _th=F.xxhash64("text"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -280,32 +325,54 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Documents are linked if ``100 * intersection >= percent * union`` of their sets of
     ``k``-word shingles; components are by links.  ``component_id``: the least doc_id
     of the component; ``kept``: it is the document's own.  Null, empty and blank texts
-    have an empty set and no links.  A null doc_id counts as larger than any other and
-    is given back as null; rows that share a doc_id are one node of the graph, each
-    with its own set.  An empty table gives an empty result; other columns are ignored.
+    have an empty set and no links.  Rows that share a doc_id are one document with
+    several texts: what any of them is linked with is reached from all.  A null doc_id
+    counts as larger than any other and is given back as null; each null row stands
+    for itself, so only its own text links it.  Repeated rows are given back each.  An
+    empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     out = _judged(docs, k, percent, bands, rows, block)
     null_id = lambda c: F.when(c != NULL_ID, c)
-    return out.select(null_id(F.col("_id")).alias("doc_id"), F.col("_n").alias("n_shingles"), null_id(F.col("_found")).alias("component_id"), (F.col("_id") == F.col("_found")).alias("kept"))
+    return out.select(null_id(F.col("_id")).alias("doc_id"), F.col("_n").alias("n_shingles"), null_id(F.col("_found._id")).alias("component_id"), (F.col("_id") == F.col("_found._id")).alias("kept"))
+
+
+def _shared_ids(base: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the classes of texts that share a doc_id."""
+    known = base.where((F.col("_id") != NULL_ID) & F.col("_fp").isNotNull())
+    several = known.groupBy("_id").agg(F.min("_fp").alias("_low"), F.max("_fp").alias("_high")).where("_low <> _high")
+    several = save(several.select("_id"), "shared-ids")
+    if several.isEmpty():
+        return several.select(F.col("_id").alias("a"), F.col("_id").alias("b"))
+    of_id = known.select("_id", "_fp").join(several, "_id", "left_semi").distinct().join(classes.select("_fp", "rep"), "_fp").select("_id", "rep")
+    least = of_id.groupBy("_id").agg(F.min("rep").alias("b"))
+    return of_id.join(least, "_id").select(F.col("rep").alias("a"), "b").where("a <> b")
 
 
 def _judged(docs: DataFrame, k: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
-    """``_id, _th, _n, _found`` of every row: its key, set size and component."""
+    """``_id, _th, _n, _found`` of every row: its key, set size and the least key (``_id, _th``) of its component.
+
+    The joins that carry registers and sets are sort-merge joins at every size: both
+    sides grow with the documents.
+    """
     args, m = (bands, rows), bands * rows
     base = save(sketches(docs, k, args), "sketches")
-    classes = save(base.where("_fp is not null").groupBy("_fp").agg(F.min("_id").alias("rep"), F.first("_regs").alias("_regs")), "classes")
-    keyed = _bands(classes, args)
-    centers = save(keyed.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1"), "centers")
-    members = save(keyed.join(centers, "key"), "members")
-    sets = save(_sets(docs, members.select("rep").distinct(), k, args), "sets")
+    classes = base.where("_fp is not null").groupBy("_fp").agg(F.min(F.struct("_id", "_th")).alias("least"), F.first("_regs").alias("_regs"), F.first("_n").alias("n"))
+    classes = save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    keys = _bands(classes, args)
+    centers = save(keys.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1"), "centers")
+    members = save(keys.join(centers, "key"), "members")
+    named = classes.join(members.select("rep").distinct(), "rep", "left_semi")
+    sets = save(_sets(docs, named.select("rep", "least._id", "least._th"), k), "sets")
+    regs = classes.select("rep", "n", F.col("_regs").alias("regs"))
     pairs = members.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
-    left = sets.select(F.col("rep").alias("a"), F.col("regs").alias("ra"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("rep").alias("b"), F.col("regs").alias("rb"), F.col("hashes").alias("hb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "ha", "hb")
-    links = save(_checked(joined, percent, m), "star-links")
+    side = lambda df, to, **more: df.select(F.col("rep").alias(to), *[F.col(c).alias(n) for n, c in more.items()]).hint("merge")
+    guessed = pairs.join(side(regs, "a", ra="regs", na="n"), "a").join(side(regs, "b", rb="regs", nb="n"), "b")
+    likely = _likely(guessed.select("a", "b", "ra", "rb", "na", "nb"), percent, m)
+    exact = likely.join(side(sets, "a", ha="hashes"), "a").join(side(sets, "b", hb="hashes"), "b")
+    links = save(_checked(exact.select("a", "b", "ha", "hb"), percent).unionByName(_shared_ids(base, classes)), "star-links")
     labels = components(links)
     # What the stars have left apart: buckets that hold more than one component.
-    weight = sets.groupBy("rep").agg(F.max(F.octet_length("hashes")).alias("bytes"))
+    weight = sets.select("rep", F.octet_length("hashes").alias("bytes"))
     held = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(weight, "rep").select("key", "rep", F.coalesce("label", "rep").alias("comp"), "bytes")
     held = save(held, "held")
     # Per bucket, blocks for its largest component and for the others: the first ones meet only the others.
@@ -318,17 +385,30 @@ def _judged(docs: DataFrame, k: int, percent: int, bands: int, rows: int, block:
     rest = rest.withColumn("blk", F.when(big, F.col("_small") + F.pmod(hash_, F.col("_large"))).otherwise(F.pmod(hash_, F.col("_small"))).cast("int"))
     others = F.sequence(F.lit(0), F.when(big, F.col("_small")).otherwise(F.col("_small") + F.col("_large")) - 1)
     rest = rest.withColumn("_o", F.explode(others)).select("key", F.least("blk", "_o").alias("i"), F.greatest("blk", "_o").alias("j"), "blk", "rep", "comp")
-    more = save(_blocks(rest.join(sets, "rep"), percent, m), "block-links")
+    # Registers travel first; sets only of members that some other component's member may be near.
+    live = save(_screened(rest.join(regs.hint("merge"), "rep"), percent, m), "live")
+    full = live.join(regs.select("rep", "regs").hint("merge"), "rep").join(sets.hint("merge"), "rep")
+    more = save(_blocks(full, percent, m), "block-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    of_class = classes.select("_fp", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("_fp", F.coalesce("label", "rep").alias("_label"))
-    out = base.select("_id", "_th", "_n", "_fp").join(save(of_class, "labels"), "_fp", "left")
-    return out.select("_id", "_th", "_n", F.coalesce("_label", "_id").alias("_found"))
+    joined = save(classes.select("_fp", "rep", "least").join(labels.select(F.col("node").alias("rep"), "label"), "rep"), "labels")
+    least = joined.groupBy("label").agg(F.min("least").alias("_least"))
+    of_class = save(joined.join(least, "label").select("_fp", "_least"), "components")
+    alone = classes.select("_fp", F.col("least").alias("_alone"))
+    out = base.select("_id", "_th", "_n", "_fp").join(alone, "_fp", "left").join(of_class, "_fp", "left")
+    return out.select("_id", "_th", "_n", F.coalesce("_least", "_alone", F.struct("_id", "_th")).alias("_found"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs``, all columns, without documents that have a near-duplicate of smaller doc_id."""
-    gone = _judged(docs, k, percent, bands, rows, block).where("_id <> _found").select(F.col("_id").alias("_rx_id"), F.col("_th").alias("_rx_th")).distinct()
-    keyed = put(docs, _rx_id=F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), _rx_th=F.xxhash64("text"))
+    """The rows of ``docs``, all columns, of one document per group of near-duplicates.
+
+    It is the one of the least doc_id (null: last), of those with equal doc_id the one
+    of the least text hash.  Rows equal in doc_id and text are one document and stay
+    or go together; null, empty and blank texts are in no group and stay.  An empty
+    table gives an empty result.
+    """
+    found = _judged(docs, k, percent, bands, rows, block)
+    gone = found.where((F.col("_id") != F.col("_found._id")) | (F.col("_th") != F.col("_found._th"))).select(F.col("_id").alias("_rx_id"), F.col("_th").alias("_rx_th")).distinct()
+    marked = put(docs, _rx_id=F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), _rx_th=F.xxhash64("text"))
     names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
-    return keyed.join(save(gone, "gone"), ["_rx_id", "_rx_th"], "left_anti").select(*names)
+    return marked.join(save(gone, "gone"), ["_rx_id", "_rx_th"], "left_anti").select(*names)

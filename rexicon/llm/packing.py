@@ -8,8 +8,6 @@ is compatible, so the bin found is the tightest compatible one.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,37 +19,52 @@ CAPACITY = 2048
 SOURCE_LIMIT = 4
 #: Rows of one shard: a shard is packed by one task, in memory.
 SHARD = 8192
+#: Equal rows that are unrolled together.
+PART = 1024
 
 
 class Packer:
-    """Bins of one shard."""
+    """Bins of one shard, numbered in the order in which they are opened.
+
+    The bitmaps that bins carry are kept by column: bit b of a source's (or cluster's)
+    bitmap tells that bin b holds it, bit b of a remainder's that bin b has it left.
+    So one ``and`` compares a document with all bins of a remainder at once.
+    """
 
     def __init__(self, capacity: int = CAPACITY, source_limit: int = SOURCE_LIMIT):
         self.capacity, self.limit = capacity, source_limit
-        self.order: list[tuple[int, int]] = []  # (left, bin), ascending
-        self.planes: list[list[int]] = []  # per bin: bitmap of sources held once, twice, ... limit times
-        self.clusters: list[int] = []  # per bin: bitmap of clusters
+        self.n_bins = 0
+        self.left: dict[int, int] = {}  # remainder -> bins
+        self.sizes = 0  # remainders that some bin has
+        self.planes: dict[int, list[int]] = {}  # source -> bins that hold it once, twice, ... limit times
+        self.clusters: dict[int, int] = {}  # cluster -> bins
 
     def place(self, size: int, source: int, cluster: int) -> int:
         """The bin for a document; a new one if none is compatible."""
-        s, c = 1 << source, 1 << cluster
-        for at in range(bisect_left(self.order, (size, -1)), len(self.order)):
-            left, found = self.order[at]
-            if not (self.planes[found][-1] & s or self.clusters[found] & c):
-                del self.order[at]
+        planes = self.planes.setdefault(source, [0] * self.limit)
+        closed = planes[-1] | self.clusters.get(cluster, 0)
+        left = max(size, 1)
+        while rest := self.sizes >> left:
+            left += (rest & -rest).bit_length() - 1  # the successor among the remainders
+            if open_ := self.left[left] & ~closed:
+                bit = open_ & -open_
+                self.left[left] ^= bit
+                if not self.left[left]:
+                    self.sizes ^= 1 << left
                 break
+            left += 1
         else:
-            found, left = len(self.planes), self.capacity
-            self.planes.append([0] * self.limit)
-            self.clusters.append(0)
-        self.clusters[found] |= c
-        for k, plane in enumerate(self.planes[found]):
-            if not plane & s:
-                self.planes[found][k] |= s
+            bit, left = 1 << self.n_bins, self.capacity
+            self.n_bins += 1
+        self.clusters[cluster] = self.clusters.get(cluster, 0) | bit
+        for k, plane in enumerate(planes):
+            if not plane & bit:
+                planes[k] |= bit
                 break
         if left > size:
-            insort(self.order, (left - size, found))
-        return found
+            self.left[left - size] = self.left.get(left - size, 0) | bit
+            self.sizes |= 1 << (left - size)
+        return bit.bit_length() - 1
 
 
 def cluster_of(text: Column) -> Column:
@@ -66,17 +79,26 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, source_limit: int = SOURCE_L
     words) of more than ``capacity`` is cut into whole bins, each alone, and a rest;
     documents of size 0 join bins too.  A bin holds one document of a ``cluster``
     (default: texts equal up to case and white space) and ``source_limit`` of a source.
-    Shards are dealt by the hash of the row, so every shard has a like mix of sources
-    and no key decides a task's share; each is packed largest first, ties by doc_id.
+    Shards are dealt by the hash of the row and its number among equal rows, so every
+    shard has a like mix of sources and no key decides a task's share.  Each is packed
+    on its own, largest first, ties by doc_id: up to about ``shard`` rows the bin found
+    is the tightest compatible one of all, beyond that the tightest of its shard.
     Null texts are empty, a null source is one source, a null cluster conflicts with
-    nothing.  Repeated rows are packed each.  An empty table gives an empty result.
+    nothing.  Repeated rows are packed each.  An empty table gives an empty result;
+    other columns, whatever their names, are ignored.
     """
     size = n_words(F.col("text")) if size is None else size
     cluster = cluster_of(F.col("text")) if cluster is None else cluster
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.cast("long").alias("_whole"), cluster.cast("string").alias("_cluster"))
     n_shards = max(1, -(-docs.count() // shard))
+    # Equal rows are counted, and unrolled in parts, so that they are spread like others.
+    rows = rows.groupBy("doc_id", "source", "_whole", "_cluster").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / PART) - 1))
+    many = rows.where(F.col("_n") > PART).withColumn("_part", part).repartition("doc_id", "_whole", "_part")
+    rows = rows.where(F.col("_n") <= PART).withColumn("_part", F.lit(0).cast("long")).unionByName(many)
+    rows = rows.withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_n") - F.col("_part") * PART, F.lit(PART)) - 1)))
     # A cluster's rows go to different shards where they can: its copies then rarely meet.
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "_cluster", "_whole"), F.lit(n_shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "_cluster", "_whole", "_part", "_r"), F.lit(n_shards)))
 
     def bins(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("size", pa.int64()), ("source", pa.string()), ("shard", pa.int64()), ("bin", pa.int64()), ("bin_size", pa.int64())])

@@ -38,13 +38,21 @@ def tile_bounds(a, b) -> tuple[np.ndarray, np.ndarray]:
 
     With x = x' + e and y = y' + f, x.y differs from x'.y' by at most
     |x'||f| + |e||y'| + |e||f|.  Products of up to 1,000 codes are exact in float32;
-    longer vectors use float64.
+    longer vectors use float64.  Where values are so large that a bound overflows, it
+    is infinite and the pair survives.
     """
     kind = np.float32 if a[0].shape[1] <= 1000 else np.float64
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _bounds(a, b, kind)
+
+
+def _bounds(a, b, kind) -> tuple[np.ndarray, np.ndarray]:
     product = (a[0].astype(kind) @ b[0].astype(kind).T).astype(np.float64) * a[1][:, None] * b[1][None, :]
     slack = np.outer(a[2], b[3]) + np.outer(a[3], b[2] + b[3])
     slack += 1e-9 * (1.0 + np.abs(product))  # rounding of the bound itself
-    return product - slack, product + slack
+    low, high = product - slack, product + slack
+    low[np.isnan(low)], high[np.isnan(high)] = -np.inf, np.inf
+    return low, high
 
 
 def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -84,7 +92,9 @@ def search_tile(q_ids, q, q_codes, c_ids, c, c_codes, heaps: Heaps, k: int, surv
     rows, columns = np.nonzero((high >= floor[:, None]) & ~own)
     for at in range(0, len(rows), survivors):
         r, s = rows[at : at + survivors], columns[at : at + survivors]
-        scores = dots(q[r], c[s])
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = dots(q[r], c[s])
+        scores[np.isnan(scores)] = -np.inf  # infinite sums of both signs: no order can be given, so last
         # per query the best k of this tile, ties to smaller ids, then into the heaps
         order = np.lexsort((c_ids[s], -scores, r))
         r, s, scores = r[order], s[order], scores[order]
@@ -134,7 +144,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     null, zero or hold null or non-finite components take no part; vectors of another
     dimension are never near.  Repeated ids: each row is a candidate, none of a query's
     own id, and each query id is asked once, with its least vector.  With fewer
-    candidates than ``k``, all are returned.  Other columns are ignored.
+    candidates than ``k``, all are returned.  Ties go to the smaller vec_id.  An empty
+    table, or one without queries, gives an empty result.  Other columns, whatever
+    their names, are ignored.
     """
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.where(F.col(id_col).isNotNull() & usable(v)).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("_query"))
@@ -171,6 +183,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
         if key is not None:
             yield emit()
 
+    tiles = tiles.sortWithinPartitions("_run", "dim", "_q")  # a query block's tiles of a run follow each other
     found = tiles.select("_q", "dim", "q_ids", "q_data", "ids", "data").mapInArrow(search, "query_id long, vec_id long, score double")
     # Merge of the runs' heaps: a query has at most k rows per run, cut to k per task before the shuffle.
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -128,18 +128,41 @@ class Reader:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-#: What a Python worker keeps between its tasks, per tokenizer file: the model, ids by piece, ids by stem.
+# The rules of tokenizer files whose tokens span neither white space nor letters and signs.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+#: What a Python worker keeps between its tasks, per tokenizer file: the model, whether it goes word by word, ids by piece, ids by stem.
 _KNOWN: dict[str, tuple] = {}
 
 
+def wordwise(path: str) -> bool:
+    """True if a tokenizer file has the rules WORDWISE and no added token with a blank in it."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    plain = all(t["content"].split() == [t["content"]] and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in rules.get("added_tokens") or [])
+    return plain and rules["model"]["type"] == "BPE" and all(rules.get(k) == v for k, v in WORDWISE.items())
+
+
 def splitter(path: str, pieces_kept: int = 300_000, stems_kept: int = 700_000):
     """UTF-8 text -> ids, as little-endian u32 bytes, of the tokenizer file at ``path``.
 
-    The file's rules lower-case, drop white space and never let a token span white
-    space, or letters and signs.  So the library encodes each distinct stem once (a
-    blank-free piece, or its letters in lower case if signs other than the apostrophe
-    end it) and the ids are joined.  ``pieces_kept, stems_kept``: entries remembered
-    before that memory starts anew.
+    With the rules WORDWISE a file lower-cases, drops white space and never lets a token
+    span white space, or letters and signs.  Then the library encodes each distinct stem
+    once (a blank-free piece, or its letters in lower case if signs other than the
+    apostrophe end it) and the ids are joined.  With any other rules it encodes each
+    text as a whole.  ``pieces_kept, stems_kept``: entries remembered before that memory
+    starts anew.
     """
     import os
     import re
@@ -148,8 +171,10 @@ def splitter(path: str, pieces_kept: int = 300_000, stems_kept: int = 700_000):
     from tokenizers import Tokenizer
 
     if path not in _KNOWN:
-        _KNOWN[path] = (Tokenizer.from_file(path), {}, {})
-    model, known, stems = _KNOWN[path]
+        _KNOWN[path] = (Tokenizer.from_file(path), wordwise(path), {}, {})
+    model, by_word, known, stems = _KNOWN[path]
+    if not by_word:
+        return lambda text: np.array(model.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
     cut = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
     bpe = model.model
@@ -193,7 +218,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int = FILE
 
     One row per file: ``_part, _seq`` (their order is the order of the documents),
     ``n_docs, n_ids, payload``.  A null text counts as empty, so the document has the
-    end id only; null doc_ids come first; rows with equal doc_id are ordered by text.
+    end id only; null doc_ids come first; rows with equal doc_id are ordered by text and
+    repeated rows are encoded each.  A text longer than ``file_ids`` ids makes a longer
+    file.  An empty table gives an empty one; other columns are ignored.
     """
 
     def files(batches):

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import accumulate
 from sys import intern
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, slices
@@ -35,7 +37,7 @@ _FOLD |= {c: None for c in (0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}  #
 #: Shorter texts count as so many words, so that one weak hit in a few words is no verdict.
 SHORT = 50
 _SUB = {ord(a): b for a, b in SUBSTITUTES.items()}
-_SIGNS = re.compile(r"[013457 8@$!]*[013457 8@$!](?=[^\W\d_])".replace(" ", ""))
+_SIGNS = re.compile(f"[{re.escape(''.join(SUBSTITUTES))}]+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -47,10 +49,21 @@ def words_of(text: str | None) -> list[str]:
     if not text.isascii():
         text = text.translate(_FOLD)
     if _SIGNS.search(text):
-        text = _SIGNS.sub(lambda m: m[0].translate(_SUB), text)
+        text = _SIGNS.sub(_letters, text)
     return _WORDS.findall(text)
 
 
+def _letters(run: re.Match) -> str:
+    """A run of digits and signs as letters if a letter stands on either side; ``!`` that ends a word is none."""
+    text, (start, end) = run.string, run.span()
+    if end < len(text) and text[end].isalpha():
+        return run[0].translate(_SUB)
+    if start and text[start - 1].isalpha():
+        own = run[0].rstrip("!")
+        return own.translate(_SUB) + run[0][len(own) :]
+    return run[0]
+
+
 @dataclass
 class Lexicon:
     """What scoring needs; its size is bounded by ``Limits``."""
@@ -86,7 +99,10 @@ class Lexicon:
                 covered.append((start, end))
             elif weight > hits.get(start, (0.0, 0))[0]:  # of terms that begin one word the heaviest counts
                 hits[start] = (weight, end)
-        total = sum(w for start, (w, end) in hits.items() if not any(a <= start and end <= b for a, b in covered))
+        covered.sort()
+        starts, reach = [a for a, _ in covered], list(accumulate((b for _, b in covered), max))
+        # a phrase covers a hit if one that begins no later ends no earlier
+        total = sum(w for start, (w, end) in hits.items() if not (k := bisect_right(starts, start)) or reach[k - 1] < end)
         return total / max(len(words), SHORT) ** self.power
 
     def score(self, text: str | None) -> float:
@@ -97,13 +113,28 @@ class Lexicon:
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of what is learned from: labelled rows per class, terms and exceptions."""
+    """Bounds of what is learned from, and of what is learned.
+
+    Labelled rows per class; characters of one such text, longer ones are not learned
+    from; characters per class in all.  Terms and exceptions are taken in the order of
+    the documents that they explain, so beyond these bounds those that explain fewest
+    are left out.  ``starts``: the longest word start that is a term of its own; longer
+    words are candidates as a whole besides, so that words alike in these letters are
+    still told apart.
+    """
 
     toxic_rows: int = 1000
     clean_rows: int = 3000
+    text_chars: int = 200_000
+    class_chars: int = 40_000_000
     terms: int = 2000
     exceptions: int = 500
-    longest: int = 12
+    starts: int = 12
+
+    def candidates(self, word: str) -> list[str]:
+        """The terms that a word can show: its starts from 3 letters on, and itself."""
+        out = [word[:n] for n in range(3, min(len(word), self.starts) + 1)]
+        return [*out, word] if len(word) > self.starts else out
 
 
 def learn(rows: list[tuple[str, int]], limits: Limits = Limits()) -> Lexicon:
@@ -129,23 +160,23 @@ def learn(rows: list[tuple[str, int]], limits: Limits = Limits()) -> Lexicon:
     starts: Counter = Counter()
     for toxic, unique, _, _ in docs:
         if toxic:
-            starts.update({w[:n] for w in unique for n in range(3, min(len(w), limits.longest) + 1)})
+            starts.update({t for w in unique for t in limits.candidates(w)})
     hits: dict[str, dict[int, int]] = {t: {} for t, n in starts.items() if n >= 3}  # term -> toxic document -> hits
     del starts
     clean: dict[str, list[int]] = {}  # term -> clean documents with at least 1, 2, 3 hits, and hits
     for k, (toxic, unique, _, _) in enumerate(docs):
         if toxic:
             for w, c in unique.items():
-                for n in range(3, min(len(w), limits.longest) + 1):
-                    if (of := hits.get(w[:n])) is not None:
+                for t in limits.candidates(w):
+                    if (of := hits.get(t)) is not None:
                         of[k] = of.get(k, 0) + c
     for toxic, unique, _, _ in docs:
         if not toxic:
             own: Counter = Counter()
             for w, c in unique.items():
-                for n in range(3, min(len(w), limits.longest) + 1):
-                    if w[:n] in hits:
-                        own[w[:n]] += c
+                for t in limits.candidates(w):
+                    if t in hits:
+                        own[t] += c
             for t, c in own.items():
                 of = clean.setdefault(t, [0, 0, 0, 0])
                 for m in range(min(c, 3)):
@@ -251,20 +282,28 @@ def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Lexi
     """A lexicon from a bounded sample of the labelled documents that are not held out.
 
     The sample has the ``toxic_rows`` and ``clean_rows`` labelled documents of least
-    id hash.  Labels that are null, or contradict each other for one doc_id, are not
-    used; without any toxic label the lexicon is empty.
+    id hash, and of these, in that order, as many as ``Limits`` lets the driver hold.
+    Of rows that share a doc_id the one of least text counts.  Labels that are null, or
+    contradict each other for one doc_id, are not used; without any toxic label, or with
+    an empty table, the lexicon is empty.
     """
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_id is not null and _toxic is not null")
     usable = usable.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("_toxic").alias("_toxic"), F.max("_toxic").alias("_most")).where("_toxic = _most").drop("_most")
     picked = bounded_sample(usable.where("_toxic = 1"), "_id", limits.toxic_rows).unionByName(bounded_sample(usable.where("_toxic = 0"), "_id", limits.clean_rows))
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(picked, "_id").select("_id", "_text", "_toxic").collect()
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.length("_text") <= limits.text_chars)
+    rows = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
+    upto = Window.partitionBy("_toxic").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_chars", F.sum(F.length("_text")).over(upto)).where(F.col("_chars") <= limits.class_chars)
+    rows = rows.select("_id", "_text", "_toxic").collect()
     return learn([(r._text, r._toxic) for r in sorted(rows, key=lambda r: (r._id, r._text or ""))], limits)
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``doc_id, score`` for every row of ``docs`` (``doc_id, text``), one pass without a shuffle.
 
-    Null and empty texts score 0; repeated rows score alike; other columns are ignored.
+    Null and empty texts score 0; repeated rows score alike; an empty table gives an
+    empty result; the time is linear in the length of a text, however long; other
+    columns, whatever their names, are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -277,7 +316,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, cut: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, that score below ``cut``."""
+    """The rows of ``docs``, all columns, that score below ``cut``; null and empty texts stay."""
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
     at = docs.columns.index("text")
 

@@ -21,10 +21,11 @@ from .common import WORD, put, slices
 SYMBOLS = "#*$%&|<>"
 #: Ratio of the bounds of a sketch's bin, and the values below which all are one bin.
 GAMMA, LEAST = 1.02, 1e-3
-#: Per metric: fence = max(floor, q3 + FENCE * (q3 - q1)).  The floor is the least value
-#: that can be an outlier at all, for groups whose quartiles are equal.
+#: Per metric: fence = q3 + FENCE * max(q3 - q1, spread).  The group's sketch sets the
+#: place and, where it is the wider, the spread; the constant is the least spread, so that
+#: a group of which three quarters are alike does not reject all others.
 FENCE = 3.0
-FLOORS = {"symbols": 0.05, "dup_lines": 0.3, "repeats": 0.35, "word_length": 12.0}
+SPREADS = {"symbols": 0.02, "dup_lines": 0.1, "repeats": 0.1, "word_length": 0.5}
 #: Groups with fewer documents use the merged sketch of their language, then of all.
 MIN_GROUP = 50
 #: The base rules.
@@ -126,10 +127,10 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     quartile = lambda q: F.min(F.when(F.col("_upto") * 4 >= F.col("_total") * q, F.col("bin")))
     out = ranked.groupBy(*keys, "metric").agg(F.max("_total").alias("n_docs"), quartile(1).alias("_b1"), quartile(3).alias("_b3"))
     q1, q3 = top_of(F.col("_b1")), top_of(F.col("_b3"))
-    floor = F.lit(0.0)
-    for name, least in FLOORS.items():
-        floor = F.when(F.col("metric") == name, F.lit(least)).otherwise(floor)
-    return out.select(*keys, "metric", "n_docs", F.greatest(q3 + F.lit(FENCE) * (q3 - q1), floor).alias("fence"))
+    spread = F.lit(0.0)
+    for name, least in SPREADS.items():
+        spread = F.when(F.col("metric") == name, F.lit(least)).otherwise(spread)
+    return out.select(*keys, "metric", "n_docs", (q3 + F.lit(FENCE) * F.greatest(q3 - q1, spread)).alias("fence"))
 
 
 def score(counted: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
@@ -141,21 +142,21 @@ def score(counted: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     rows = put(counted.withColumn("base_failed", failed), **metrics())
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), bin_of(F.col(m)).alias("bin")) for m in FLOORS])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), bin_of(F.col(m)).alias("bin")) for m in SPREADS])
     sketch = rows.where(~F.col("base_failed")).select("lang", "source", F.explode(pairs).alias("p")).groupBy("lang", "source", "p.metric", "p.bin").agg(F.count(F.lit(1)).alias("n"))
     levels = [fences(sketch, ["lang", "source"]), fences(_merge(sketch, ["lang"]), ["lang"]), fences(_merge(sketch, []), [])]
     wide = []
     for k, (level, keys) in enumerate(zip(levels, (["lang", "source"], ["lang"], []))):
-        per = [F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"_{m}{k}") for m in FLOORS]
-        wide.append(level.groupBy(*keys).agg(F.max("n_docs").alias(f"_n{k}"), *per).select(*[F.col(c).alias(f"_{c}{k}") for c in keys], f"_n{k}", *[f"_{m}{k}" for m in FLOORS]))
+        per = [F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"_{m}{k}") for m in SPREADS]
+        wide.append(level.groupBy(*keys).agg(F.max("n_docs").alias(f"_n{k}"), *per).select(*[F.col(c).alias(f"_{c}{k}") for c in keys], f"_n{k}", *[f"_{m}{k}" for m in SPREADS]))
     out = rows.join(wide[0], F.col("lang").eqNullSafe(F.col("_lang0")) & F.col("source").eqNullSafe(F.col("_source0")), "left")
     out = out.join(wide[1], F.col("lang").eqNullSafe(F.col("_lang1")), "left")
     out = out.join(F.broadcast(wide[2]), F.lit(True), "left")  # one row
     fits = F.lit(True)
-    for m in FLOORS:
+    for m in SPREADS:
         fence = F.when(F.coalesce(F.col("_n0"), F.lit(0)) >= min_group, F.col(f"_{m}0")).when(F.coalesce(F.col("_n1"), F.lit(0)) >= min_group, F.col(f"_{m}1")).otherwise(F.col(f"_{m}2"))
         fits = fits & (F.col(m) <= fence)
-    return out.select("doc_id", "lang", "source", *COUNTS, *FLOORS, "base_failed", (~F.col("base_failed") & F.coalesce(fits, F.lit(False))).alias("kept"))
+    return out.select("doc_id", "lang", "source", *COUNTS, *SPREADS, "base_failed", (~F.col("base_failed") & F.coalesce(fits, F.lit(False))).alias("kept"))
 
 
 def _merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,8 +167,9 @@ def _merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
 def apply(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """Counts, metrics and verdict of every document of ``docs`` (``doc_id, text, lang, source``).
 
-    A null or empty text has no words and fails the base rules.  An empty table gives
-    an empty result; repeated rows are judged alike; other columns are ignored.
+    A null or empty text has no words and fails the base rules; a value equal to its
+    fence is kept.  An empty table gives an empty result; repeated rows are judged
+    alike; whole texts are counted, however long; other columns are ignored.
     """
     from .common import save
 

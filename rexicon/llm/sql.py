@@ -29,7 +29,7 @@ def op6() -> str:
         "repeats": "CAST(n_repeat_words AS DOUBLE) / CAST(greatest(n_words, 1) AS DOUBLE)",
         "word_length": "CAST(word_chars AS DOUBLE) / CAST(greatest(n_words, 1) AS DOUBLE)",
     }
-    floor = "CASE metric " + " ".join(f"WHEN '{m}' THEN {v!r}" for m, v in quality.FLOORS.items()) + " END"
+    spread = "CASE metric " + " ".join(f"WHEN '{m}' THEN {v!r}::DOUBLE" for m, v in quality.SPREADS.items()) + " END"
     levels = {"l0": "lang, source", "l1": "lang", "l2": ""}
     ctes = []
     for name, keys in levels.items():
@@ -39,7 +39,7 @@ def op6() -> str:
             f"{name}a AS (SELECT {k}metric, bin, sum(n) AS n FROM sk GROUP BY ALL),\n"
             f"{name}b AS (SELECT *, sum(n) OVER ({g}) AS total, sum(n) OVER ({g} ORDER BY bin) AS upto FROM {name}a),\n"
             f"{name}c AS (SELECT {k}metric, max(total) AS n_docs, min(bin) FILTER (upto * 4 >= total) AS b1, min(bin) FILTER (upto * 4 >= total * 3) AS b3 FROM {name}b GROUP BY ALL),\n"
-            f"{name} AS (SELECT {k}metric, n_docs, greatest(q3 + {quality.FENCE} * (q3 - q1), {floor}) AS fence FROM (SELECT *, "
+            f"{name} AS (SELECT {k}metric, n_docs, q3 + {quality.FENCE}::DOUBLE * greatest(q3 - q1, {spread}) AS fence FROM (SELECT *, "
             + ", ".join(f"CASE WHEN {b} <= 0 THEN 0.0 ELSE {quality.LEAST!r}::DOUBLE * pow({quality.GAMMA!r}::DOUBLE, {b}::DOUBLE) END AS {q}" for b, q in (("b1", "q1"), ("b3", "q3")))
             + f" FROM {name}c))"
         )

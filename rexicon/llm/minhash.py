@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, put, save, slices
+from .common import NULL_ID, put, release, save, slices
 from .graph import components
 
 #: 32 bands of 5 registers: a pair at 0.8 is missed with a chance of (1 - 0.8 ** 5) ** 32 = 3e-6.
@@ -389,6 +389,7 @@ def _judged(docs: DataFrame, k: int, percent: int, bands: int, rows: int, block:
     live = save(_screened(rest.join(regs.hint("merge"), "rep"), percent, m), "live")
     full = live.join(regs.select("rep", "regs").hint("merge"), "rep").join(sets.hint("merge"), "rep")
     more = save(_blocks(full, percent, m), "block-links")
+    release(centers, members, sets, held, mixed, live)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     joined = save(classes.select("_fp", "rep", "least").join(labels.select(F.col("node").alias("rep"), "label"), "rep"), "labels")

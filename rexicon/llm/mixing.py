@@ -158,7 +158,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES, s
     order keys by doc_id and size.  Other columns of the input, whatever their names,
     are ignored; a very long text is a document like any other.
     """
-    groups, _ = _groups(docs, F.lit(0), weights, cap, seed, piece)
+    groups = save(_groups(docs, F.lit(0), weights, cap, seed, piece)[0], "places")
     # Groups of many equal rows are dealt out in parts before each part is unrolled.
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / piece) - 1))
     many = groups.where(F.col("n") > piece).withColumn("_part", part).repartition("doc_id", "size", "_part")

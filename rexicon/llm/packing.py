@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, slices
+from .common import n_words, save, slices
 
 CAPACITY = 2048
 #: A bin holds at most so many documents of one source, and one of a cluster.
@@ -90,9 +90,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, source_limit: int = SOURCE_L
     size = n_words(F.col("text")) if size is None else size
     cluster = cluster_of(F.col("text")) if cluster is None else cluster
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.cast("long").alias("_whole"), cluster.cast("string").alias("_cluster"))
-    n_shards = max(1, -(-docs.count() // shard))
     # Equal rows are counted, and unrolled in parts, so that they are spread like others.
-    rows = rows.groupBy("doc_id", "source", "_whole", "_cluster").agg(F.count(F.lit(1)).alias("_n"))
+    rows = save(rows.groupBy("doc_id", "source", "_whole", "_cluster").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    n_shards = max(1, -(-(rows.agg(F.sum("_n")).first()[0] or 0) // shard))
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / PART) - 1))
     many = rows.where(F.col("_n") > PART).withColumn("_part", part).repartition("doc_id", "_whole", "_part")
     rows = rows.where(F.col("_n") <= PART).withColumn("_part", F.lit(0).cast("long")).unionByName(many)

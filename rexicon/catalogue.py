@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import match, normalize, render
+from .functions import match, normalize, render, unnormalize
 from .index import RegexIndex, regex_search
 from .operators import postings as P
 from .plans import automaton, steps
 from .sources import store
-from .sources.corpora import table, text_rows
+from .sources.corpora import table, text_rows, write_ids
 from .sources.tokenizers import BpeTokenizer, ByteTokenizer
 
 #: Scans over documents: name -> pattern.
@@ -57,7 +57,7 @@ INDEXED = {
     "index_search_class": "th[aeiou]n?t",
     "index_search_accent": "ón",
     "index_search_rare": "TT",
-    "index_search_bounded": r"(k[aeiou]t?){2}k",
+    "index_search_bounded": r"(?:an|th){2}e",
     "index_search_anchored": "^The",
     "index_search_cyclic": "tz[a-z]*ung",
 }
@@ -153,7 +153,7 @@ def _merged(spark, sf_dir):
 
 
 def _sentence_ids(spark, sf_dir):
-    return P.sentence_ids(_token(spark, sf_dir, "q").select("doc_id", "pos"))
+    return P.sentence_ids(_token(spark, sf_dir, "k").select("doc_id", "pos"))
 
 
 def _index_vs_scan(spark, sf_dir):
@@ -181,6 +181,67 @@ def _maintained(spark, sf_dir, name: str, compact: bool) -> DataFrame:
     return index.search(part, "an[a-z]", "p_partkey", "p_name", mode="index").select("p_partkey")
 
 
+def _compact_twice(spark, sf_dir):
+    """Compaction between appends and deletions, again and again."""
+    part = table(spark, sf_dir, "part")
+    third = lambda k: part.where(F.col("p_partkey") % 3 == k)
+    index = _fresh(spark, sf_dir, "twice", third(0))
+    index.append(third(1), "p_partkey", "p_name")
+    index.compact()
+    index.compact()
+    index.delete(part.where(F.col("p_partkey") % 7 == 0), "p_partkey")
+    index.append(third(2).where(F.col("p_partkey") % 7 != 0), "p_partkey", "p_name")
+    index.compact()
+    return index.search(part, "an[a-z]", "p_partkey", "p_name", mode="index").select("p_partkey")
+
+
+def _from_tokens(spark, sf_dir):
+    """An index of rows that come as tokens."""
+    part, made = table(spark, sf_dir, "part"), ByteTokenizer()
+    tokens = made.tokenize(text_rows(part, "p_partkey", "p_name"), special=True).withColumnRenamed("doc_id", "id")
+    index = RegexIndex.build_tokens(tokens, made, f"{store.shared_dir(spark)}/tokens-{abs(hash(sf_dir)):x}", overwrite=True)
+    return index.search(part, "an[a-z]", "p_partkey", "p_name", mode="index").select("p_partkey")
+
+
+def _auto_index(spark, sf_dir):
+    """Mode ``auto`` with an index that is never too small to be worth its jobs: the cost rule takes it."""
+    index = RegexIndex(spark, document_index(spark, sf_dir).path, small=0)
+    plan = index.plan("TT")
+    if plan.mode != "index":
+        raise AssertionError(plan.explain())
+    return index.search(table(spark, sf_dir, "documents"), "TT").select("doc_id")
+
+
+def _written_ids(spark, sf_dir):
+    """Ids written one per line, and read back."""
+    path = f"{store.shared_dir(spark)}/ids-{abs(hash(sf_dir)):x}"
+    write_ids(_scan(r"\d{3}", spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("value").cast("long").alias("doc_id"))
+
+
+def _sorted_postings(spark, sf_dir):
+    """Global order of the postings: how many stand out of order within their task's rows, and all."""
+    rows = P.sort_postings(_bytes(spark, sf_dir)).withColumn("_no", F.monotonically_increasing_id())
+    by = Window.partitionBy(F.spark_partition_id()).orderBy("_no")
+    key = F.struct("token_id", "doc_id", "pos")
+    rows = rows.withColumn("_bad", F.coalesce(F.lag(key).over(by) >= key, F.lit(False)))
+    return rows.agg(F.count_if("_bad").alias("n_wrong"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def _unnormalized(spark, sf_dir):
+    mapping = {".": "x", "/": "Z", "\\": "X", "`": "C"}
+    back = unnormalize(normalize(F.col("text"), mapping), mapping)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(back).alias("digest"))
+
+
+def _token_statistics(spark, sf_dir):
+    """Statistics of the stored index: its postings are one per token and two marks per document."""
+    from .sources.corpora import token_stats
+
+    rows = ByteTokenizer().tokenize(text_rows(table(spark, sf_dir, "part"), "p_partkey", "p_name"))
+    return token_stats(rows.select(F.col("doc_id").alias("id"), "tokens"))
+
+
 def _stream(spark, sf_dir):
     """Rows that arrive as a stream, indexed batch by batch, then searched."""
     import uuid
@@ -249,6 +310,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "index_vs_scan_diff": _index_vs_scan,
         "pending_and_tombstones": partial(_maintained, name="maintained", compact=False),
         "compact_equivalence": partial(_maintained, name="compacted", compact=True),
+        "compact_twice": _compact_twice,
+        "index_from_tokens": _from_tokens,
+        "auto_index_rare": _auto_index,
+        "written_ids": _written_ids,
+        "sorted_postings": _sorted_postings,
+        "unnormalize_map": _unnormalized,
+        "token_file_stats": _token_statistics,
         "stream_append_search": _stream,
         "dfa_table": _dfa_table,
         "step_table": _step_table,
@@ -289,11 +357,18 @@ def oracle_sql() -> dict[str, str]:
         "posting_list_stats": _BYTES + "SELECT token_id, count(DISTINCT doc_id) AS n_docs, count(*) AS n_postings FROM t GROUP BY token_id",
         "followed_by": _BYTES + "SELECT doc_id, pos FROM t a WHERE token_id = 99 AND EXISTS (SELECT 1 FROM t b WHERE b.token_id = 112 AND b.doc_id = a.doc_id AND b.pos = a.pos + 1)",
         "merge_sorted_lists": _BYTES + "SELECT DISTINCT doc_id, pos FROM t WHERE token_id IN (99, 103, 112)",
-        "sentence_ids": _BYTES + "SELECT DISTINCT doc_id FROM t WHERE token_id = 115",
+        "sentence_ids": _BYTES + "SELECT DISTINCT doc_id FROM t WHERE token_id = 109",
         "index_documents": "SELECT count(*) AS n_docs FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL",
         "index_vs_scan_diff": "SELECT doc_id FROM documents WHERE false",
         "pending_and_tombstones": part + " AND p_partkey % 7 <> 0",
         "compact_equivalence": part + " AND p_partkey % 7 <> 0",
+        "compact_twice": part + " AND p_partkey % 7 <> 0",
+        "index_from_tokens": part,
+        "auto_index_rare": f"SELECT doc_id FROM documents WHERE {_where('text', 'TT')}",
+        "written_ids": f"SELECT doc_id FROM documents WHERE {digits}",
+        "sorted_postings": _BYTES + "SELECT 0 AS n_wrong, count(*) AS n_rows FROM t",
+        "unnormalize_map": "SELECT doc_id, md5(translate(translate(text, './\\`', 'xZXC'), 'xZXC', './\\`')) AS digest FROM documents",
+        "token_file_stats": "SELECT CAST(max(length(hex(encode(p_name))) // 2) AS INTEGER) AS max_tokens, CAST(max(p_partkey) AS BIGINT) AS max_id, count(*) AS n_rows FROM part WHERE p_name IS NOT NULL",
         "stream_append_search": part,
     }
 

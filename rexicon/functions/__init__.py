@@ -6,9 +6,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import render
-from .syntax import Assertion, Cat, UnsupportedPattern, literal, nullable, parse
+from .syntax import Assertion, Cat, UnsupportedPattern, literal, nullable, parse, required
 
-__all__ = ["UnsupportedPattern", "match", "full_match", "normalize", "install"]
+__all__ = ["UnsupportedPattern", "match", "full_match", "normalize", "unnormalize", "install"]
 
 
 def match(text: Column, pattern: str | None) -> Column:
@@ -35,7 +35,8 @@ def match(text: Column, pattern: str | None) -> Column:
             return text.startswith(inner)
         if inner and last:
             return text.endswith(inner)
-    return text.rlike(render.java(node))
+    found, must = text.rlike(render.java(node)), required(node)
+    return text.contains(must) & found if len(must) > 1 else found  # the search for a string is far the faster
 
 
 def full_match(text: Column, pattern: str) -> Column:
@@ -49,6 +50,14 @@ def normalize(text: Column, mapping: dict[str, str]) -> Column:
     return F.translate(text, "".join(pairs), "".join(pairs.values()))
 
 
+def unnormalize(text: Column, mapping: dict[str, str]) -> Column:
+    """The inverse of :func:`normalize`; of characters mapped to the same one the first comes back."""
+    back: dict[str, str] = {}
+    for frm, to in check_mapping(mapping).items():
+        back.setdefault(to, frm)
+    return F.translate(text, "".join(back), "".join(back.values()))
+
+
 def check_mapping(mapping) -> dict[str, str]:
     """A mapping of single ASCII characters, from a dict or its JSON."""
     import json

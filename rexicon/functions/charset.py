@@ -76,19 +76,34 @@ def script(name: str, value: str | None) -> str | None:
 
 @lru_cache(maxsize=256)
 def property_set(name: str, value: str | None) -> Intervals:
-    """The code points with a general category or script."""
+    """The code points with a general category, a script, or a binary or block property."""
     found = category(name, value)
     if found:
         return _collect(lambda ch: unicodedata.category(ch).startswith(found))
+    written = f"{name}={value}" if value else name
+    try:
+        import regex
+    except ImportError as e:
+        raise UnknownProperty(f"only categories are known without the regex module, not {written}") from e
     own = script(name, value)
-    if own:
+    for form in ([f"Script={own}"] if own else []) + [written]:
         try:
-            import regex
-        except ImportError as e:
-            raise UnknownProperty(f"scripts need the regex module: {own}") from e
-        try:
-            match = regex.compile(rf"\p{{Script={own}}}").match
-        except regex.error as e:
-            raise UnknownProperty(f"unknown unicode property: {name}{'=' + value if value else ''}") from e
-        return _collect(match)
-    raise UnknownProperty(f"unknown unicode property: {name}={value}")
+            return _collect(regex.compile(rf"\p{{{form}}}").match)
+        except regex.error:
+            continue
+    raise UnknownProperty(f"unknown unicode property: {written}")
+
+
+@lru_cache(maxsize=256)
+def is_script(name: str, value: str | None) -> bool:
+    """True if a property names a script, so that other engines know it by that name."""
+    own = script(name, value)
+    if own is None:
+        return False
+    import regex
+
+    try:
+        regex.compile(rf"\p{{Script={own}}}")
+    except regex.error:
+        return False
+    return True

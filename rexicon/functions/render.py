@@ -31,6 +31,8 @@ def _part(p: Part, java: bool) -> str:
     found = charset.category(p.name, p.value)
     if found:
         return f"\\{sign}{{{found}}}"
+    if not charset.is_script(p.name, p.value):  # binary and block properties: engines differ, so their code points
+        return "".join(_part(Part(lo, hi), java) for lo, hi in p.intervals())
     own = charset.script(p.name, p.value)
     own = own[:1].upper() + own[1:].lower()
     return f"\\{sign}{{{'Is' if java else ''}{own}}}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from .sources.tokenizers import from_spec
 BUCKETS = 32
 
 
-#: Below so many postings mode ``auto`` scans.
+#: Below so many postings mode ``auto`` scans, unless an index is opened with another bound.
 SMALL = 50_000_000
 STATS = "token_id int, n_docs long, n_postings long"
 
@@ -31,8 +33,8 @@ class RegexIndex:
     until ``compact``; ids are never used again.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, small: int = SMALL):
+        self.spark, self.path, self.small = spark, path, small
         self._frames: dict[tuple, DataFrame] = {}  # keeps file listings between searches
         self._frequencies: tuple | None = None
         self._load()
@@ -42,67 +44,97 @@ class RegexIndex:
         self.tokenizer = from_spec(self.meta["tokenizer"])
 
     @classmethod
-    def build(cls, df: DataFrame, tokenizer, path: str, key: str = "doc_id", text: str = "text", overwrite: bool = False) -> RegexIndex:
-        """Index the rows of ``df``; an empty table makes an empty index."""
-        spark = df.sparkSession
-        if store.exists(spark, f"{path}/{store.META}") and not overwrite:
+    def _empty(cls, spark: SparkSession, tokenizer, path: str, overwrite: bool) -> RegexIndex:
+        if store.versions(spark, path) and not overwrite:
             raise FileExistsError(f"there is an index at {path}")
         store.delete(spark, path)
-        store.write_meta(spark, path, {"generations": [], "tombstones": [], "tokenizer": tokenizer.spec(), "buckets": BUCKETS, "n_postings": {}})
-        out = cls(spark, path)
-        out.append(df, key, text, name="g0")
+        store.write_meta(spark, path, {"generations": [], "tombstones": [], "merged": [], "next": 0, "tokenizer": tokenizer.spec(), "buckets": BUCKETS, "n_postings": {}})
+        return cls(spark, path)
+
+    @classmethod
+    def build(cls, df: DataFrame, tokenizer, path: str, key: str = "doc_id", text: str = "text", overwrite: bool = False) -> RegexIndex:
+        """Index the rows of ``df``; an empty table makes an empty index."""
+        out = cls._empty(df.sparkSession, tokenizer, path, overwrite)
+        out.append(df, key, text)
         return out
 
+    @classmethod
+    def build_tokens(cls, tokens: DataFrame, tokenizer, path: str, overwrite: bool = False) -> RegexIndex:
+        """Index rows ``id, tokens`` that the tokenizer has made elsewhere."""
+        out = cls._empty(tokens.sparkSession, tokenizer, path, overwrite)
+        name = out._name("g")
+        out._write(tokens.select(F.col("id").cast("long").alias("doc_id"), "tokens").where("doc_id is not null and tokens is not null"), name)
+        out._publish([], [name])
+        return out
+
+    def _name(self, logical: str) -> str:
+        """A directory that no manifest has ever named."""
+        self.meta["next"] += 1
+        return f"{logical}-{self.meta['next']}-{uuid.uuid4().hex[:8]}"
+
     def _write(self, tokens: DataFrame, name: str) -> None:
+        """Documents, postings and statistics of a generation; the tokens are made once and read back."""
+        staged = f"{self.path}/staging/{name}"
+        tokens.write.mode("overwrite").parquet(staged)
+        tokens = self.spark.read.schema("doc_id long, tokens array<int>").parquet(staged)
         tokens.select("doc_id").write.mode("overwrite").parquet(f"{self.path}/docs/{name}")
-        rows = P.explode(tokens).withColumn("bucket", F.col("token_id") % BUCKETS)
-        rows = rows.repartitionByRange("bucket", "token_id", "doc_id").sortWithinPartitions("bucket", "token_id", "doc_id", "pos")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{name}")
-        self._finish(name)
+        self._sorted(P.explode(tokens).withColumn("bucket", F.col("token_id") % BUCKETS), name)
+        store.delete(self.spark, staged)
 
-    def _finish(self, name: str) -> None:
-        """Statistics of a generation that has just been written."""
-        self._frames, self._frequencies = {}, None
+    def _sorted(self, rows: DataFrame, name: str) -> None:
+        """Write postings by bucket, token, document and position, and their statistics."""
+        P.sort_postings(rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{name}")
         P.statistics(self._postings([name])).write.mode("overwrite").parquet(f"{self.path}/stats/{name}")
         total = self._read("stats", STATS, [name]).agg(F.coalesce(F.sum("n_postings"), F.lit(0))).first()[0]
         self.meta["n_postings"][name] = int(total)
 
+    def _publish(self, gone: list[str], new: list[str], tombstones: list[str] | None = None) -> None:
+        """A manifest with some generations replaced; only then are directories deleted."""
+        graves = [] if tombstones is None else [t for t in self.meta["tombstones"] if t not in tombstones]
+        self.meta["generations"] = [g for g in self.meta["generations"] if g not in gone] + new
+        self.meta["n_postings"] = {g: n for g, n in self.meta["n_postings"].items() if g in self.meta["generations"]}
+        if tombstones is not None:
+            self.meta["tombstones"] = tombstones
+        self.meta = store.write_meta(self.spark, self.path, self.meta)
+        self._frames, self._frequencies = {}, None
+        for kind, names in (("postings", gone), ("docs", gone), ("stats", gone), ("tombstones", graves)):
+            for name in names:
+                store.delete(self.spark, f"{self.path}/{kind}/{name}")
+
     def append(self, df: DataFrame, key: str = "doc_id", text: str = "text", name: str | None = None) -> str:
-        """Add rows as a generation; the same ``name`` again replaces it, so a batch can be repeated."""
+        """Add rows as a generation; returns its name.
+
+        The same ``name`` again replaces the generation, so a batch can be repeated;
+        one that ``compact`` has merged already is left alone.
+        """
         self._load()
-        name = name or f"g{len(self.meta['generations'])}-{len(self.meta['tombstones'])}"
-        self._write(self.tokenizer.tokenize(text_rows(df, key, text), special=True), name)
-        if name not in self.meta["generations"]:
-            self.meta["generations"].append(name)
-        store.write_meta(self.spark, self.path, self.meta)
-        return name
+        if name is not None and name in self.meta["merged"]:
+            return name
+        old = [g for g in self.meta["generations"] if name is not None and g.rsplit("-", 2)[0] == name]
+        own = self._name(name or "g")
+        rows = text_rows(df, key, text)
+        cores = self.spark.sparkContext.defaultParallelism
+        if not df.isStreaming and rows.rdd.getNumPartitions() < cores:
+            rows = rows.repartition(2 * cores)
+        self._write(self.tokenizer.tokenize(rows, special=True), own)
+        self._publish(old, [own])
+        return own
 
     def delete(self, ids: DataFrame, key: str = "doc_id") -> None:
         """Hide documents."""
         self._load()
-        name = f"t{len(self.meta['tombstones'])}"
+        name = self._name("t")
         ids.select(F.col(key).cast("long").alias("doc_id")).where("doc_id is not null").distinct().write.mode("overwrite").parquet(f"{self.path}/tombstones/{name}")
-        self.meta["tombstones"].append(name)
-        store.write_meta(self.spark, self.path, self.meta)
+        self._publish([], [], [*self.meta["tombstones"], name])
 
     def compact(self) -> None:
         """Rewrite all generations as one, without the deleted documents."""
         self._load()
-        n = sum(g.startswith("c") for g in self.meta["generations"]) + len(self.meta["generations"])
-        old, name = list(self.meta["generations"]), f"c{n}-{len(self.meta['tombstones'])}"
-        live = self.postings()
-        rows = live.repartitionByRange("bucket", "token_id", "doc_id").sortWithinPartitions("bucket", "token_id", "doc_id", "pos")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{name}")
+        old, name = list(self.meta["generations"]), self._name("c")
         self.documents().write.mode("overwrite").parquet(f"{self.path}/docs/{name}")
-        self._finish(name)
-        graves = self.meta["tombstones"]
-        self.meta |= {"generations": [name], "tombstones": [], "n_postings": {name: self.meta["n_postings"][name]}}
-        store.write_meta(self.spark, self.path, self.meta)
-        for kind in ("postings", "docs", "stats"):
-            for g in old:
-                store.delete(self.spark, f"{self.path}/{kind}/{g}")
-        for t in graves:
-            store.delete(self.spark, f"{self.path}/tombstones/{t}")
+        self._sorted(self.postings(), name)
+        self.meta["merged"] = sorted({*self.meta["merged"], *(g.rsplit("-", 2)[0] for g in old if not g.startswith(("g-", "c-")))})
+        self._publish(old, [name], [])
 
     def drop(self) -> None:
         store.delete(self.spark, self.path)
@@ -147,8 +179,8 @@ class RegexIndex:
         """How ``search`` would go; the vocabulary bounds what is read from the statistics."""
         frequencies = None
         if mode == "auto":
-            if sum(self.meta["n_postings"].values()) < SMALL and not nullable(parse(pattern)):
-                return Plan(pattern, "scan", False, why=f"fewer than {SMALL} postings: a scan ends before the index's jobs have begun")
+            if sum(self.meta["n_postings"].values()) < self.small and not nullable(parse(pattern)):
+                return Plan(pattern, "scan", False, why=f"fewer than {self.small} postings: a scan ends before the index's jobs have begun")
             names = tuple(self.meta["generations"])
             if self._frequencies is None or self._frequencies[0] != names:
                 self._frequencies = (names, {r.token_id: r.n_postings for r in self.statistics().collect()})

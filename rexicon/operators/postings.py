@@ -20,8 +20,9 @@ def explode(tokens: DataFrame) -> DataFrame:
 
 
 def sort_postings(postings: DataFrame) -> DataFrame:
-    """Globally by token, then document and position."""
-    return postings.repartitionByRange("token_id", "doc_id").sortWithinPartitions("token_id", "doc_id", "pos")
+    """Globally by bucket, if there is one, token, document and position; a frequent token is spread over tasks."""
+    keys = [c for c in ("bucket", "token_id", "doc_id") if c in postings.columns]
+    return postings.repartitionByRange(*keys).sortWithinPartitions(*keys, "pos")
 
 
 def statistics(postings: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
-META, FORMAT = "_index_meta.json", 1
+META, FORMAT = "_index_meta", 2
 
 
 def _fs(spark: SparkSession, path: str):
@@ -32,11 +33,21 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
 
 
-def read_meta(spark: SparkSession, path: str) -> dict:
-    """The manifest of an index; raises if there is none or it is of another format."""
-    at, fs = _fs(spark, f"{path}/{META}")
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the manifests at a path, in order."""
+    at, fs = _fs(spark, path)
     if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return sorted(int(n.rpartition(".")[2]) for n in names if n.startswith(META + ".") and n.rpartition(".")[2].isdigit())
+
+
+def read_meta(spark: SparkSession, path: str) -> dict:
+    """The newest manifest of an index; raises if there is none or it is of another format."""
+    found = versions(spark, path)
+    if not found:
         raise FileNotFoundError(f"no index at {path}")
+    at, fs = _fs(spark, f"{path}/{META}.{found[-1]}")
     stream = fs.open(at)
     try:
         found = json.loads(bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
@@ -44,20 +55,32 @@ def read_meta(spark: SparkSession, path: str) -> dict:
         stream.close()
     if found.get("format") != FORMAT:
         raise ValueError(f"index format {found.get('format')} is not {FORMAT}")
+    missing = {"generations", "tombstones", "tokenizer", "buckets", "n_postings", "merged", "next", "version"} - found.keys()
+    if missing:
+        raise ValueError(f"the manifest at {path} lacks {', '.join(sorted(missing))}")
     return found
 
 
-def write_meta(spark: SparkSession, path: str, meta: dict) -> None:
-    """Publish a manifest: written aside, then moved over the old one, so readers see either."""
-    at, fs = _fs(spark, f"{path}/{META}")
-    aside, _ = _fs(spark, f"{path}/{META}.new")
-    stream = fs.create(aside, True)
-    stream.write(bytearray(json.dumps(meta | {"format": FORMAT}).encode()))
+def write_meta(spark: SparkSession, path: str, meta: dict) -> dict:
+    """Publish the manifest that follows ``meta``: written aside, then renamed to a number of its own.
+
+    Readers take the highest number, so they see the old manifest or the new one.  A
+    number that is taken already means that another writer was faster: an error, and
+    nothing is lost.  The manifest before stays for readers that have just listed it.
+    """
+    new = meta | {"format": FORMAT, "version": meta.get("version", 0) + 1}
+    at, fs = _fs(spark, f"{path}/{META}.{new['version']}")
+    aside, _ = _fs(spark, f"{path}/.{META}-{uuid.uuid4().hex}")
+    stream = fs.create(aside, False)
+    stream.write(bytearray(json.dumps(new).encode()))
     stream.close()
-    if fs.exists(at):
-        fs.delete(at, False)
-    if not fs.rename(aside, at):
-        raise OSError(f"the manifest at {path} could not be published")
+    if fs.exists(at) or not fs.rename(aside, at):
+        fs.delete(aside, False)
+        raise OSError(f"the index at {path} was changed by another writer")
+    for old in versions(spark, path):
+        if old < new["version"] - 1:
+            delete(spark, f"{path}/{META}.{old}")
+    return new
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,6 +89,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.conf.get(key, None)
         if found:
             return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = "file://" + tempfile.mkdtemp(prefix="rexicon-index-")
     spark.conf.set("spark.rexicon.index.dir", own)
     return own

@@ -142,6 +142,49 @@ def test_index_life(spark, tmp_path, bpe, kind):
         RegexIndex(spark, at("b"))
 
 
+def test_compaction_again_and_again(spark, tmp_path):
+    table = rows_of(spark, B + A)
+    index = RegexIndex.build(rows_of(spark, B), tokenizers.ByteTokenizer(), f"file://{tmp_path}/c")
+    reader = RegexIndex(spark, index.path)
+    index.append(rows_of(spark, A, 5), name="s0")
+    index.compact()
+    index.compact()
+    agree(index, table, "ngi", 5)
+    index.append(rows_of(spark, A, 5), name="s0")  # a batch that is merged already
+    index.delete(rows_of(spark, B[:1]))
+    index.compact()
+    index.append(rows_of(spark, ["ngi"], 8))
+    index.compact()
+    agree(index, rows_of(spark, B + A + ["ngi"]), "ngi", 5)
+    assert index.documents().count() == 8 and index.postings().groupBy("doc_id", "pos").count().where("count > 1").isEmpty()
+    reader._load()
+    agree(reader, table.where("doc_id < 8"), "ta", 7)
+    stale = dict(index.meta)
+    index.append(rows_of(spark, ["ho"], 9))
+    with pytest.raises(OSError):  # another writer was faster
+        store.write_meta(spark, index.path, stale)
+    with pytest.raises(FileExistsError):
+        RegexIndex.build(table, tokenizers.ByteTokenizer(), index.path)
+
+
+def test_long_literals_read_the_postings_once(spark, tmp_path):
+    table = rows_of(spark, B)
+    index = RegexIndex.build(table, tokenizers.ByteTokenizer(), f"file://{tmp_path}/l")
+    found, recheck = index.candidates("ta so ngi")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and not recheck and {r.doc_id for r in found.collect()} == {1}
+
+
+def test_counts_properties_and_required_strings(spark):
+    from rexicon.functions.syntax import parse, required
+
+    df = spark.createDataFrame([("a" * 1500,), ("a" * 1499,), ("x \u3000",)], "t string")
+    assert [r.y for r in df.select(match(F.col("t"), "a{1500}").alias("y")).collect()] == [True, False, False]
+    assert [r.y for r in df.select(match(F.col("t"), r"^(?:a{30}){50}$").alias("y")).collect()] == [True, False, False]
+    assert df.select(match(F.col("t"), r"x \p{White_Space}").alias("y")).collect()[2].y
+    assert [required(parse(p)) for p in (r"\band\b", "th[aeiou]n?t", "(?:abc)+d?", "a|b", "x(yz){2}w")] == ["and", "th", "abc", "", "xyzyzw"]
+
+
 def test_lossy_mapping_is_rechecked(spark, tmp_path):
     table = rows_of(spark, ["a.b", "axb", "a-b"])
     index = RegexIndex.build(table, tokenizers.ByteTokenizer({".": "x"}), f"file://{tmp_path}/m")
@@ -151,9 +194,9 @@ def test_lossy_mapping_is_rechecked(spark, tmp_path):
 
 def test_manifest_format_is_checked(spark, tmp_path):
     store.write_meta(spark, f"file://{tmp_path}", {})
-    path = tmp_path / store.META
-    os.remove(tmp_path / f".{store.META}.crc") if (tmp_path / f".{store.META}.crc").exists() else None
-    path.write_text('{"format": 99}')
+    with pytest.raises(ValueError, match="lacks"):
+        store.read_meta(spark, f"file://{tmp_path}")
+    (tmp_path / f"{store.META}.2").write_text('{"format": 99}')
     with pytest.raises(ValueError):
         store.read_meta(spark, f"file://{tmp_path}")
 

@@ -219,7 +219,7 @@ def parse(html: str | None) -> Page:
 
 #: Scores before anything is learned: words (plain, in links, in boilerplate) and tags.
 WORD_PRIORS = {"w": 1.0, "w:a": 0.2, "w.x": 0.01}
-_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 br blockquote pre ul ol li dl dt dd table thead tbody tr td th figure figcaption hr section div article main".split())
+_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 header hgroup br blockquote pre ul ol li dl dt dd table thead tbody tr td th figure figcaption hr section div article main".split())
 #: The lowest score of a tag, and the tags seen that outweigh the prior.
 LOWEST, STRENGTH = -3.0, 20
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,11 +198,37 @@ def test_patience_finds_moved_blocks_in_order():
     assert linededup.patience(a, b) == [(0, 0), (1, 1), (2, 2), (3, 3), (5, 4), (6, 5), (7, 6)]
 
 
+def test_anchors_do_not_depend_on_the_texts_beside():
+    """Texts taken together have the anchors that each has alone, none across an edge."""
+    rnd = random.Random(8)
+    texts = ["", "a", "\n\n", *("".join(rnd.choice("ab cd .!?\t\n\u00e9\u4e2d") for _ in range(rnd.randrange(400))) for _ in range(200)), prose(90), prose(41), prose(40)]
+    owner, *rest, n_words = linededup.anchors(texts)
+    together = sorted(zip(owner.tolist(), *(c.tolist() for c in rest)))
+    alone = sorted((k, *row) for k, text in enumerate(texts) for row in zip(*(c.tolist() for c in linededup.anchors([text])[1:4])))
+    assert together == alone and n_words.tolist() == [len(linededup.words_of(t)) for t in texts]
+
+
+def test_partners_across_batches():
+    """First holder, and for rare anchors the holder next before, wherever the batches end."""
+    rnd = random.Random(2)
+    rows = sorted({(rnd.randrange(12), rnd.randrange(30), rnd.randrange(3) << 32) for _ in range(90)})
+    expected = []
+    for h in range(12):
+        group = [r for r in rows if r[0] == h]
+        for k, (_, i, spot) in enumerate(group):
+            met = {group[0][1:]} | ({group[k - 1][1:]} if 0 < k < linededup.RARE else set())
+            expected += [(i, spot, 8, f) for f in met if group[0][1] < i and f[0] < i]
+    for size in (1, 2, 7, 90):
+        batches = [pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows[k : k + size]], pa.int64()) for c in range(3)), pa.array([8] * len(rows[k : k + size]), pa.int32())], names=["h", "_id", "spot", "words"]) for k in range(0, len(rows), size)]
+        got = [(r["_id"], r["spot"], r["words"], (r["_f"]["_id"], r["_f"]["spot"])) for b in linededup._partners(batches) for r in b.to_pylist()]
+        assert sorted(got) == sorted(expected)
+
+
 def brute_dedup(rows):
     """The documents one after the other, with the holders of every anchor at hand; repeats of a (doc_id, text) are one."""
     first, last, texts, out = {}, {}, dict(rows), {}
     for i, text in sorted(rows):
-        places, hashes, sizes, _ = linededup.anchors(text)
+        _, places, hashes, sizes, _ = linededup.anchors([text])
         met = defaultdict(set)
         for x, h, n in zip(places.tolist(), hashes.tolist(), sizes.tolist()):
             for j, y in {first.get(h, (i, 0)), last.get(h, (i, 0))}:

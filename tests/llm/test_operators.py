@@ -224,6 +224,16 @@ def test_partners_across_batches():
         assert sorted(got) == sorted(expected)
 
 
+def test_line_dedup_takes_small_batches(spark, monkeypatch):
+    """Workers are sent batches of few MB, however large the texts: Spark's own are held several times beside the heap."""
+    spark.conf.unset(common.BATCH)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("x"), 5000), F.col("id").cast("string")).alias("text"))
+    out = linededup.dedup(docs)
+    assert out.count() == 3000
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) > 15_000_000 and max(r["n"] for r in sizes) < 1.1 * common.BATCH_BYTES
+
+
 def brute_dedup(rows):
     """The documents one after the other, with the holders of every anchor at hand; repeats of a (doc_id, text) are one."""
     first, last, texts, out = {}, {}, dict(rows), {}

@@ -224,6 +224,27 @@ def test_partners_across_batches():
         assert sorted(got) == sorted(expected)
 
 
+def common_line(n):
+    """Texts of their own but for one line, which all have."""
+    return [(k, f"{prose(30)}\nthis line stands in each of the many documents\n{prose(30)}") for k in range(n)]
+
+
+def test_frequent_anchors_are_not_joined(spark, monkeypatch):
+    """Frequent anchors are told by the texts' anchors themselves: no inner join returns a row for each of their places."""
+    monkeypatch.setattr(linededup, "SHARE", 1)
+    monkeypatch.setattr(linededup, "FREQUENT_LEAST", 20)
+    texts = spark.createDataFrame(common_line(60), "_id long, _text string").select("_id", F.lit(0).cast("long").alias("_t"), "_text")
+    often = linededup._frequent(texts)
+    assert len(often) == 1
+    found = linededup._anchors(texts, often)
+    assert found.where("often").count() == 60 and found.where(F.col("often") != (F.coalesce("h", F.lit(0)) == int(often[0]))).isEmpty()
+    plans, kept = [], linededup.save
+    monkeypatch.setattr(linededup, "save", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, name))
+    pairs = linededup._paired(kept(found, "anchors"))
+    assert {(r["_id"], r["_f"]["_id"]) for r in collected(pairs)} == {(k, 0) for k in range(1, 60)}
+    assert plans and not any("Join" in p for p in plans) and "Join Inner" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_line_dedup_takes_small_batches(spark, monkeypatch):
     """Workers are sent batches of few MB, however large the texts: Spark's own are held several times beside the heap."""
     spark.conf.unset(common.BATCH)

@@ -245,6 +245,56 @@ def test_frequent_anchors_are_not_joined(spark, monkeypatch):
     assert plans and not any("Join" in p for p in plans) and "Join Inner" not in pairs._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_anchors_travel_packed(spark, monkeypatch):
+    """Anchors and seeds are saved and dealt out in buckets, many to a row, and texts meet their windows in one exchange of each."""
+    rnd = random.Random(4)
+    rows = [(k, ". ".join(" ".join(rnd.choices(WORDS, k=12)) for _ in range(40))) for k in range(300)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    n, sizes, kept = len(linededup.anchors([t for _, t in rows])[0]), {}, linededup.save
+
+    def saved(df, name):
+        out = kept(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "save", saved)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = linededup.dedup(texts)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert n > 10_000 and sizes["anchors"] < n / 8
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_packed_rows_come_back():
+    """Rows are the same after packing, whole buckets at once, wherever batches of rows and of packed rows end."""
+    rnd = np.random.default_rng(6)
+    columns = {name: rnd.integers(np.iinfo(t).min, np.iinfo(t).max, 700, dtype=t) for name, t in linededup.ANCHORS.items()}
+    columns["h"] = rnd.choice(columns["h"], 700)
+    often = columns["h"] % 5 == 0
+    rows = pa.RecordBatch.from_pydict({**columns, "often": often})
+    expected = sorted(zip(often.tolist(), *(c.tolist() for c in columns.values())))
+    for limit, size in ((1, 1), (100, 3), (1000, 700)):
+        packed = pa.Table.from_batches(linededup._packed((rows.slice(k, 50) for k in range(0, 700, 50)), linededup.ANCHORS, 37, "h", limit)).sort_by("bucket")
+        got, seen = [], set()
+        for negative, found in linededup._unpacked(packed.combine_chunks().to_batches(max_chunksize=size), linededup.ANCHORS):
+            got += zip([negative] * len(found[0]), *(c.tolist() for c in found))
+            if not negative:
+                assert not seen & set(found[0].tolist())
+                seen |= set(found[0].tolist())
+        assert sorted(got) == expected
+
+
+def test_word_hashes_pass_over_long_gaps():
+    """A word's hash depends on its own bytes, wherever it stands and whatever gap is before it."""
+    data = b"one two" + b" " * 200_000 + b"one " + b"x" * 90_000 + b" two"
+    codes = np.frombuffer(data, np.uint8)
+    h = linededup.word_hashes(codes, linededup.word_spans(codes, None)).tolist()
+    assert h[0] == h[2] and h[1] == h[4] and len(set(h)) == 3
+    codes = np.frombuffer(b"two", np.uint8)
+    assert linededup.word_hashes(codes, linededup.word_spans(codes, None)).tolist() == h[1:2]
+
+
 def test_line_dedup_takes_small_batches(spark, monkeypatch):
     """Workers are sent batches of few MB, however large the texts: Spark's own are held several times beside the heap."""
     spark.conf.unset(common.BATCH)
